@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,25 @@ BROADCAST_BYTES = 16 << 20
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df marked for broadcasting if its counted rows fit BROADCAST_BYTES, else df as it is."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def running_offsets(counts: DataFrame, group: str, part: str, rows: str, block: int = 4096) -> DataFrame:
+    """For counts with one row (group, part, rows): group, part, offset, the rows of the parts before it.
+
+    part is a whole number from 0. Counts are summed within blocks of parts first, so that no
+    task reads more than a block of them, or one row a block.
+    """
+    blocked = counts.select(group, part, rows, F.floor(F.col(part) / block).alias("_block"))
+    before = (Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(group, "_block").orderBy(part).rowsBetween(*before)
+    outer = Window.partitionBy(group).orderBy("_block").rowsBetween(*before)
+    bases = (
+        blocked.groupBy(group, "_block")
+        .agg(F.sum(rows).alias("_total"))
+        .select(group, "_block", F.coalesce(F.sum("_total").over(outer), F.lit(0)).alias("_base"))
+    )
+    return (
+        blocked.withColumn("_within", F.coalesce(F.sum(rows).over(inner), F.lit(0)))
+        .join(bases, [group, "_block"])
+        .select(group, part, (F.col("_base") + F.col("_within")).alias("offset"))
+    )

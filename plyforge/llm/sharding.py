@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.llm.common import staged, table
+from plyforge.llm.common import running_offsets, staged, table
 
 SHARDS = 40
 SEED = 20
@@ -105,7 +105,7 @@ def shuffle_into_shards(documents: DataFrame, shards: int = SHARDS, seed: int =
         ),
         "buckets",
     )
-    offsets = _offsets(shuffled.select("shard", "bucket", "rows"))
+    offsets = running_offsets(shuffled.select("shard", "bucket", "rows"), "shard", "bucket", "rows")
     placed = shuffled.join(offsets, ["shard", "bucket"]).select(
         "shard",
         "offset",
@@ -132,27 +132,6 @@ def shuffle_into_shards(documents: DataFrame, shards: int = SHARDS, seed: int =
     )
 
 
-def _offsets(buckets: DataFrame) -> DataFrame:
-    """The rows before each bucket in its shard: shard, bucket, offset.
-
-    Bucket counts, one row a bucket, are summed in blocks of buckets first, so that no task
-    reads more than a block of them or one row a block.
-    """
-    from pyspark.sql import Window
-
-    blocked = buckets.withColumn("block", F.floor(F.col("bucket") / 4096))
-    inner = Window.partitionBy("shard", "block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        blocked.groupBy("shard", "block")
-        .agg(F.sum("rows").alias("total"))
-        .select("shard", "block", F.coalesce(F.sum("total").over(outer), F.lit(0)).alias("base"))
-    )
-    return blocked.withColumn("within", F.coalesce(F.sum("rows").over(inner), F.lit(0))).join(
-        blocks, ["shard", "block"]
-    ).select("shard", "bucket", (F.col("base") + F.col("within")).alias("offset"))
-
-
 def write_shards(documents: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, max_records: int = 100_000) -> None:
     """Write the documents, all their columns, below path/shard=K in the order of their slots.
 
