@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -209,25 +209,27 @@ def score_documents(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     scored each. Texts of any length are read whole, window by window.
     """
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            values = np.array([score(text) for text in batch["text"]], dtype=np.float64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": values, "predicted": (values >= model.threshold).astype("int32")})
+            values = np.array([score(text.as_py()) for text in batch.column("text")], dtype=np.float64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(values), pa.array((values >= model.threshold).astype(np.int32))],
+                names=["doc_id", "score", "predicted"],
+            )
 
-    return documents.select("doc_id", "text").mapInPandas(scored, "doc_id long, score double, predicted int")
+    return documents.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double, predicted int")
 
 
 def reject_toxic(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents, all their columns, without those that the model predicts to be toxic."""
-    schema = documents.schema
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            yield batch[[score(text) < model.threshold for text in batch["text"]]]
+            yield batch.filter(pa.array([score(text.as_py()) < model.threshold for text in batch.column("text")], pa.bool_()))
 
-    return documents.mapInPandas(kept, schema)
+    return documents.mapInArrow(kept, documents.schema)
 
 
 NAME = "op1_toxicity"
