@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plyforge.session import ship
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
@@ -46,6 +48,7 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

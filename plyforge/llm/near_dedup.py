@@ -10,7 +10,7 @@ depth adapts, as the WINDOW nearest by prefix are. Texts in regions of their own
 the sort.
 
 Candidates are confirmed on the full sets. They come in two passes. The first takes each
-text's best neighbour in every tree, which is enough to join most of a group at a cost that
+text's best neighbour in each of FIRST_ORDERS trees, which is enough to join most of a group at a cost that
 grows with the texts, not the pairs. The second takes every remaining candidate whose ends are
 still in different components.
 
@@ -34,9 +34,13 @@ from plyforge.llm.shingles import mix, shingle_sets
 ORDERS = 24
 MIN_DEPTH = 3
 COORDINATES = ORDERS * MIN_DEPTH
+#: Trees of the first pass, which joins most groups; the second pass has all trees.
+FIRST_ORDERS = 8
 WINDOW = 64
-#: Candidates agree in this share of the coordinates; a pair at 0.75 falls short 2 times in a million.
-AGREEMENT = 0.5
+#: One-bit minima that screen candidates, for the texts of the forest only.
+SKETCH_BITS = 1024
+#: Standard errors below the wanted similarity down to which a pair is a candidate: 1 in 100,000 falls short.
+SLACK = 4.3
 PERCENT = 75
 
 _COORD_BYTES = 2
@@ -45,6 +49,8 @@ _HEAD = MIN_DEPTH * _COORD_BYTES
 _RNG = np.random.default_rng(29)
 _MULTIPLY = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_BIT_MULTIPLY = _RNG.integers(1, 1 << 63, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BIT_ADD = _RNG.integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64)
 _SETS_AT_ONCE = 1 << 18  # hashes
 
 
@@ -66,6 +72,34 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit of the minimum under each of SKETCH_BITS hash functions; two sketches agree in about (1 + J) / 2 of them."""
+    least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    step = 64
+    for i in range(0, len(hashes), 512):
+        part = hashes[i : i + 512, None]
+        for j in range(0, SKETCH_BITS, step):
+            own = (part * _BIT_MULTIPLY[j : j + step] + _BIT_ADD[j : j + step]).min(axis=0)
+            np.minimum(least[j : j + step], own, out=least[j : j + step])
+    return np.packbits((mix(least) & np.uint64(1)).astype(np.uint8)).tobytes()
+
+
+def _sketches(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and sketch of the documents whose doc_id is among ids (_id)."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                found = [sketch(s) for s in shingle_sets(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "sketch"])
+
+    chosen = documents.select("doc_id", "text").join(
+        broadcast_if_small(ids, ids.count(), 100), F.col("doc_id") == F.col("_id"), "left_semi"
+    )
+    return chosen.mapInArrow(made, "doc_id long, sketch binary").dropDuplicates(["doc_id"])
+
+
 def features(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (equal for equal sets) and signature; null where the set is empty."""
 
@@ -91,20 +125,22 @@ def features(documents: DataFrame) -> DataFrame:
     )
 
 
-def _forest(signed: DataFrame) -> DataFrame:
-    """Rows (tree, rotated, doc_id) in the sort order of each tree, without regions of one text."""
+def _forest(signed: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows (tree, rotated, doc_id, n_shingles, sketch) in the sort order of each tree, without regions of one text."""
     trees = F.sequence(F.lit(0), F.lit(ORDERS - 1))
     heads = signed.select("doc_id", F.explode(trees).alias("tree"), "signature").select(
         "doc_id", "tree", F.xxhash64("tree", F.substring("signature", F.col("tree") * _HEAD + 1, F.lit(_HEAD))).alias("head")
     )
     shared = heads.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
-    live = heads.join(shared, "head").groupBy("doc_id").agg(F.collect_set("tree").alias("trees"))
+    live = staged(heads.join(shared, "head").groupBy("doc_id").agg(F.collect_set("tree").alias("trees")), "live")
+    sketches = _sketches(documents, live.select(F.col("doc_id").alias("_id")))
     turned = F.concat(
         F.substring("signature", F.col("tree") * _HEAD + 1, F.lit(_SIGNATURE)),
         F.substring("signature", F.lit(1), F.col("tree") * _HEAD),
     )
-    return signed.join(live, "doc_id").select("doc_id", "signature", F.explode("trees").alias("tree")).select(
-        "tree", turned.alias("rotated"), "doc_id"
+    rows = signed.join(live, "doc_id").join(sketches, "doc_id")
+    return rows.select("doc_id", "n_shingles", "signature", "sketch", F.explode("trees").alias("tree")).select(
+        "tree", turned.alias("rotated"), "doc_id", "n_shingles", "sketch"
     )
 
 
@@ -112,27 +148,33 @@ def _sorted_trees(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("tree", "rotated", "doc_id").sortWithinPartitions("tree", "rotated", "doc_id")
 
 
-def _neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
-    """Candidate pairs a < b among rows (tree, rotated, doc_id, component) in sort order.
+def _neighbours(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
+    """Candidate pairs a < b among rows (tree, rotated, doc_id, n_shingles, sketch, component) in sort order.
 
-    best_only: each row's best neighbour before and after it. Otherwise every candidate whose
+    Pairs whose sets' sizes rule the link out are no candidates, nor are pairs whose sketches
+    put it SLACK standard errors off. best_only: each row's best neighbour before and after it. Otherwise every candidate whose
     ends have different components.
     """
-    least = int(np.ceil(AGREEMENT * COORDINATES))
+    share = (1 + percent / 100) / 2
+    least = int(SKETCH_BITS * share - SLACK * (SKETCH_BITS * share * (1 - share)) ** 0.5)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = np.empty(0, dtype=np.int64)
         sig = np.empty((0, COORDINATES), dtype=np.uint16)
-        ids, group = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        bits = np.empty((0, SKETCH_BITS // 64), dtype=np.uint64)
+        ids, group, size = (np.empty(0, dtype=np.int64) for _ in range(3))
         for batch in batches:
             if not batch.num_rows:
                 continue
             old = len(ids)
             new = np.frombuffer(b"".join(batch.column("rotated").to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES)
             sig = np.concatenate([sig, new])
+            new = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, bits.shape[1])
+            bits = np.concatenate([bits, new])
             tree = np.concatenate([tree, batch.column("tree").to_numpy()])
             ids = np.concatenate([ids, batch.column("doc_id").to_numpy()])
             group = np.concatenate([group, batch.column("component").to_numpy()])
+            size = np.concatenate([size, batch.column("n_shingles").to_numpy()])
             n = len(ids)
             ahead, behind = np.full((n, 2), -1, dtype=np.int64), np.full((n, 2), -1, dtype=np.int64)
             later, pairs = np.arange(old, n), []
@@ -144,15 +186,17 @@ def _neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
                 if not len(later):
                     break
                 earlier = later - step
+                fits = 100 * np.minimum(size[later], size[earlier]) >= percent * np.maximum(size[later], size[earlier])
                 if best_only:
-                    agree = (sig[later] == sig[earlier]).sum(axis=1)
-                    for side, own, other in ((behind, later, earlier), (ahead, earlier, later)):
+                    x, y = later[fits], earlier[fits]
+                    agree = SKETCH_BITS - np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                    for side, own, other in ((behind, x, y), (ahead, y, x)):
                         better = (agree >= least) & (agree > side[own, 0])
                         side[own[better], 0], side[own[better], 1] = agree[better], other[better]
                 else:
-                    apart = group[later] != group[earlier]
+                    apart = fits & (group[later] != group[earlier])
                     x, y = later[apart], earlier[apart]
-                    near = (sig[x] == sig[y]).sum(axis=1) >= least
+                    near = SKETCH_BITS - np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) >= least
                     pairs.append(np.stack([ids[x[near]], ids[y[near]]], axis=1))
             if best_only:
                 for side in (behind, ahead):
@@ -162,9 +206,9 @@ def _neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
                 both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
                 both = both[both[:, 0] != both[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-            tree, sig, ids, group = tree[-WINDOW:], sig[-WINDOW:], ids[-WINDOW:], group[-WINDOW:]
+            tree, sig, bits, ids, group, size = (column[-WINDOW:] for column in (tree, sig, bits, ids, group, size))
 
-    return rows.select("tree", "rotated", "doc_id", "component").mapInArrow(found, "a long, b long")
+    return rows.select("tree", "rotated", "doc_id", "n_shingles", "sketch", "component").mapInArrow(found, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
@@ -208,17 +252,19 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = staged(features(documents), "signatures")
     linkable = signed.where("set_key is not null and doc_id is not null")
     classes = staged(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    alone = linkable.join(classes, ["set_key"]).where("doc_id = rep").select("doc_id", "signature").distinct()
+    alone = linkable.join(classes, ["set_key"]).where("doc_id = rep").select("doc_id", "n_shingles", "signature").distinct()
 
-    forest = staged(_forest(alone), "forest")
-    first = _neighbours(_sorted_trees(forest.withColumn("component", F.col("doc_id"))), True)
+    forest = staged(_forest(alone, documents), "forest")
+    first = _neighbours(_sorted_trees(forest.where(F.col("tree") < FIRST_ORDERS).withColumn("component", F.col("doc_id"))), True, percent)
     first = staged(first.distinct(), "pairs")
     links = staged(_confirmed(first, documents, percent), "links")
     found = connected_components(links)
 
     component = F.coalesce("component", "doc_id").alias("component")
-    again = forest.join(found, forest["doc_id"] == found["node"], "left").select("tree", "rotated", "doc_id", component)
-    second = _neighbours(_sorted_trees(again), False).distinct().join(first, ["a", "b"], "left_anti")
+    again = forest.join(found, forest["doc_id"] == found["node"], "left").select(
+        "tree", "rotated", "doc_id", "n_shingles", "sketch", component
+    )
+    second = _neighbours(_sorted_trees(again), False, percent).distinct().join(first, ["a", "b"], "left_anti")
     second = staged(second, "pairs")
     if not second.isEmpty():
         more = staged(_confirmed(second, documents, percent), "links")
