@@ -137,7 +137,7 @@ class PieceModel:
                 heapq.heappush(agenda, (-(total + forward[start]), (*path, i), start, total, (*emitted, *reversed(own))))
         return found
 
-    def _forward(self, words: list[str]) -> Iterator[tuple[str, list[int], float, float]]:
+    def _forward(self, words: list[str]) -> Iterator[tuple[bytes, float, float]]:
         """For each of several words of one length: its best path's ids, score, and the distance to the second best."""
         n, m = len(words[0]), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(m, n).astype(np.uint64)
@@ -172,18 +172,29 @@ class PieceModel:
                 best[end] = np.where(ahead, one, best[end])
                 back[end] = np.where(ahead, length, back[end])
                 back_id[end] = np.where(ahead, i, back_id[end])
-        gaps = (best[n] - second[n]).tolist()
-        for word, steps, own, score, gap in zip(words, back.T.tolist(), back_id.T.tolist(), best[n].tolist(), gaps, strict=True):
-            ids, at = [], n
-            while at:
-                start, i = at - steps[at], own[at]
-                if i >= 0:
-                    ids.append(i)
-                else:
-                    ids += reversed(self._emitted(word[start:at], i))
-                at = start
-            ids.reverse()
-            yield word, ids, score, gap
+        # All best paths are followed at once, from the end; ids fill each row from the right.
+        every, at, left = np.arange(m), np.full(m, n), np.full(m, n)
+        ids = np.zeros((m, n), dtype="<u4")
+        unknown = np.zeros(m, dtype=bool)
+        live = every
+        while len(live):
+            here = at[live]
+            i = back_id[here, live]
+            left[live] -= 1
+            ids[live, left[live]] = i.astype(np.uint32)
+            unknown[live] |= i < 0
+            at[live] = here - back[here, live]
+            live = live[at[live] > 0]
+        flat, starts = ids.tobytes(), ((every * n + left) * 4).tolist()
+        bodies = [flat[start : end * n * 4] for end, start in enumerate(starts, 1)]
+        for k in np.flatnonzero(unknown).tolist():
+            path, end = [], n
+            while end:
+                start = end - int(back[end, k])
+                path[:0] = self._emitted(words[k][start:end], int(back_id[end, k]))
+                end = start
+            bodies[k] = struct.pack(f"<{len(path)}I", *path)
+        return zip(bodies, best[n].tolist(), (best[n] - second[n]).tolist(), strict=True)
 
     def learn(self, words: set[str]) -> None:
         """Run the forward pass for the words that are not remembered."""
@@ -203,10 +214,9 @@ class PieceModel:
                 for word in group:
                     top = self.n_best(word, 2)
                     gap = top[0][0] - top[1][0] if len(top) > 1 else np.inf
-                    self._known[word] = np.array(top[0][1], dtype="<u4").tobytes(), top[0][0], gap
+                    known[word] = np.array(top[0][1], dtype="<u4").tobytes(), top[0][0], gap
                 continue
-            for word, ids, score, gap in self._forward(group):
-                self._known[word] = struct.pack(f"<{len(ids)}I", *ids), score, gap
+            known.update(zip(group, self._forward(group), strict=True))
 
     def _alternatives(self, word: str, n: int) -> list[tuple[float, bytes]]:
         if (word, n) not in self._ranked:
@@ -245,8 +255,7 @@ class PieceModel:
         return self._body(ids).decode("utf-8", "replace")
 
     def _body(self, ids: np.ndarray) -> bytes:
-        raw = self._raw
-        return b"".join([raw[i] for i in ids.tolist()])[1:]
+        return b"".join(map(self._raw.__getitem__, ids.tolist()))[1:]
 
     def gives(self, ids: bytes, text: str) -> bool:
         """Whether ids decode to the text; a space mark in it counts as a blank."""
