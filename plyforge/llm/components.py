@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from plyforge.llm.common import discard, staged
 
 
+#: Edges that one task handles; small graphs don't pay for more tasks than they need.
+EDGES_PER_TASK = 100_000
+
+
 def connected_components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (a, b).
 
@@ -28,18 +32,20 @@ def connected_components(edges: DataFrame, name: str = "edges") -> DataFrame:
                 stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
             )
         before = state
+        tasks = -(-state[0] // EDGES_PER_TASK)
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             stars.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        parent = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).coalesce(tasks)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
+        parent = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = (
             large.join(parent, "u")
             .select(F.explode(F.array(F.struct("m", F.col("v").alias("b")), F.struct("m", F.col("u").alias("b")))).alias("e"))
             .select(F.col("e.m").alias("a"), F.col("e.b").alias("b"))
             .where("a != b")
             .distinct()
+            .coalesce(tasks)
         )
         old, stars = stars, staged(small, name)
         discard(spark, old)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.llm.common import broadcast_if_small, staged, table
+from plyforge.llm.common import broadcast_if_small, discard, staged, table
 from plyforge.llm.components import connected_components
 from plyforge.llm.shingles import mix, shingle_sets
 
@@ -238,7 +238,11 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFram
                     keep.append(bool(common) and 100 * common >= percent * (len(x) + len(y) - common))
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(checked, "a long, b long")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    links = staged(both.mapInArrow(checked, "a long, b long"), "links")
+    for done in (ids, texts):
+        discard(documents.sparkSession, done)
+    return links
 
 
 def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -257,7 +261,7 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     forest = staged(_forest(alone, documents), "forest")
     first = _neighbours(_sorted_trees(forest.where(F.col("tree") < FIRST_ORDERS).withColumn("component", F.col("doc_id"))), True, percent)
     first = staged(first.distinct(), "pairs")
-    links = staged(_confirmed(first, documents, percent), "links")
+    links = _confirmed(first, documents, percent)
     found = connected_components(links)
 
     component = F.coalesce("component", "doc_id").alias("component")
@@ -267,9 +271,12 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     second = _neighbours(_sorted_trees(again), False, percent).distinct().join(first, ["a", "b"], "left_anti")
     second = staged(second, "pairs")
     if not second.isEmpty():
-        more = staged(_confirmed(second, documents, percent), "links")
+        more = _confirmed(second, documents, percent)
         found = connected_components(links.unionByName(more))
 
+    # The result reads signed, classes and found alone.
+    for done in (forest, first, second):
+        discard(documents.sparkSession, done)
     return (
         signed.join(classes, "set_key", "left")
         .join(found, F.col("rep") == F.col("node"), "left")
