@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are built from a bounded sample of labelled texts: one ends in
 segments that toxic texts have and ordinary texts lack, the other in segments of ordinary
-texts. Both start with the same trained dictionary of the sample, so that a window's two
+texts. Both start with the same dictionary trained on ordinary texts, so that a window's two
 compressed lengths differ only by what the class segments explain. A text is cut into
 windows at white space, every window is compressed under both dictionaries, and the length
 differences give features that a logistic model, with thresholds fitted on part of the
@@ -153,38 +153,49 @@ def _log_loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
+def _dictionaries(rows: list[tuple[str, int]]):
+    """size -> (toxic dictionary, ordinary dictionary) built from rows, for any size of the class segments."""
+    samples = [w for text, label in rows if not label for w in windows_of(text)]
+    samples = [samples[i] for i in np.random.default_rng(7).permutation(len(samples))[:BASE_WINDOWS]]
+    try:
+        base = zstandard.train_dictionary(BASE_BYTES, samples, k=64, d=6, level=3).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on: the text itself serves
+        base = b" ".join(samples)[-BASE_BYTES:]
+    toxic, ordinary = _segments(rows)
+    return lambda size: (base + _tail(toxic, size), base + _tail(ordinary, size))
+
+
 def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
     """Fit dictionaries and calibration on labelled texts (text, 0 or 1).
 
-    Even rows build the dictionaries, odd rows choose the size of the class segments and fit
-    the logistic weights. Without rows of both classes in either half the model gives every
-    text the share of label 1 among the rows, or 0 without rows.
+    The rows of each class are dealt to two halves. Each half's dictionaries measure the other
+    half, and over all those features the size of the class segments is chosen and the
+    logistic weights are fitted; the model's own dictionaries are built from all rows. Without
+    rows of both classes in either half the model gives every text the share of label 1 among
+    the rows, or next to 0 without rows.
     """
     rows = [(text or "", int(label)) for text, label in rows]
-    build, tune = rows[::2], rows[1::2]
-    if any(len({label for _, label in half}) < 2 for half in (build, tune)):
+    by_class = [[row for row in rows if row[1] == label] for label in (0, 1)]
+    halves = [[row for own in by_class for row in own[k::2]] for k in (0, 1)]
+    if any(len({label for _, label in half}) < 2 for half in halves):
         share = sum(label for _, label in rows) / len(rows) if rows else 0.0
         constant = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return ToxicityModel(b" ", b" ", (constant, *[0.0] * len(CLIP)))
-    samples = [w for text, _ in build for w in windows_of(text)]
-    samples = [samples[i] for i in np.random.default_rng(7).permutation(len(samples))[:BASE_WINDOWS]]
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, samples, k=64, d=6, level=3).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself serves
-        base = b" ".join(samples)[-BASE_BYTES:]
-    toxic, ordinary = _segments(build)
+    folds = [(_dictionaries(halves[k]), halves[1 - k]) for k in (0, 1)]
+    y = np.array([label for _, tune in folds for _, label in tune], dtype=np.float64)
     best = None
-    y = np.array([label for _, label in tune], dtype=np.float64)
     for size in SEGMENT_BYTES:
-        pair = base + _tail(toxic, size), base + _tail(ordinary, size)
-        distance = Distance(*pair)
-        x = _scaled(np.array([distance.features(text) for text, _ in tune]))
+        measured = []
+        for built, tune in folds:
+            distance = Distance(*built(size))
+            measured += [distance.features(text) for text, _ in tune]
+        x = _scaled(np.array(measured))
         w = _logistic(x, y)
         loss = _log_loss(x, y, w)
         if best is None or loss < best[0] - 1e-4:
-            best = loss, pair, w
-    _, pair, w = best
-    return ToxicityModel(*pair, tuple(float(v) for v in w))
+            best = loss, size, w
+    _, size, w = best
+    return ToxicityModel(*_dictionaries(rows)(size), tuple(float(v) for v in w))
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[tuple[str, int]]:
