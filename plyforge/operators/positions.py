@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions import positions as P
@@ -50,20 +50,26 @@ def balance(records: DataFrame, dimensions: tuple[str, ...], target: int | None
     return ranked.crossJoin(F.broadcast(least)).where(F.col("_nth") <= F.col("_target"))  # one row
 
 
-def mine(records: DataFrame, threshold: int, window: int, losing: int | None = None) -> DataFrame:
-    """Labelled records near a jump of the value of at least threshold in their game, or lost by more than losing.
+def near_jumps(records: DataFrame, threshold: int, window: int) -> DataFrame:
+    """The records with _eval, Black's value, and _near: labelled and near a jump of it in their game.
 
-    A jump is between neighbours in (ply, idx) order that both have a value; records up to
-    window places from it are near.
+    A jump is a change of at least threshold between neighbours in (ply, idx) order that both
+    have a value; records up to window places from it are near.
     """
     game = Window.partitionBy("path").orderBy("ply", "idx")
     e = prepared(records).withColumn("_eval", P.eval_black())
     e = e.withColumn("_jump", F.coalesce(F.abs(F.col("_eval") - F.lag("_eval").over(game)) >= threshold, F.lit(False)))
     near = F.max("_jump").over(game.rowsBetween(-window, window)) & (F.size(P.OBS) > 0)
-    if losing is not None:
-        own = F.when(F.col("side") == "white", -F.col("_eval")).otherwise(F.col("_eval"))
-        near = near | F.coalesce(own < -losing, F.lit(False))
-    return e.withColumn("_near", near).where("_near")
+    return e.withColumn("_near", near)
+
+
+def mine(records: DataFrame, threshold: int, window: int, losing: int | None = None) -> DataFrame:
+    """Labelled records near a jump (near_jumps), or lost by more than losing."""
+    e = near_jumps(records, threshold, window)
+    if losing is None:
+        return e.where("_near")
+    own = F.when(F.col("side") == "white", -F.col("_eval")).otherwise(F.col("_eval"))
+    return e.where(F.col("_near") | F.coalesce(own < -losing, F.lit(False)))
 
 
 def calibrate(records: DataFrame, config: QualityConfig, margins: list[int], swings: list[int]) -> DataFrame:
@@ -90,28 +96,55 @@ def calibrate(records: DataFrame, config: QualityConfig, margins: list[int], swi
     return row.select("total", F.inline("cells"))
 
 
-def audit(records: DataFrame, teacher: int, students: list[int]) -> DataFrame:
-    """Teacher and student observations of one engine in one record, per student depth.
+def _at_depth(engine: Column, depth: int) -> Column:
+    """An engine's observation of a requested depth, else of a reached one; the first of several."""
+    asked = F.get(F.filter(P.OBS, lambda o: (o["engine"] == engine) & (o["requested_depth"] == depth)), F.lit(0))
+    return F.coalesce(asked, F.get(F.filter(P.OBS, lambda o: (o["engine"] == engine) & (o["depth"] == depth)), F.lit(0)))
 
-    The first observation of a requested depth stands for it. Values are compared where both
-    are centipawns.
-    """
 
-    def at(engine, depth: int):
-        return F.get(F.filter(P.OBS, lambda o: (o["engine"] == engine) & (o["requested_depth"] == depth)), F.lit(0))
+def audit_pairs_of(teacher: int, students: list[int]) -> Column:
+    """A record's array of (student_depth, mismatch, error): teacher against student observations of each engine.
 
+    The best moves match unless both are ordinary and differ. error is null unless both values
+    are centipawns. The teacher's own depth is never a student's.
+    """
+
+    def pair(t: Column, s: Column, depth: int) -> Column:
+        ordinary = P.bestmove_kind(t["bestmove"]).isNull() & P.bestmove_kind(s["bestmove"]).isNull()
+        both = (t["kind"] == "cp") & (s["kind"] == "cp")
+        made = F.struct(
+            F.lit(depth).alias("student_depth"),
+            (ordinary & (t["bestmove"] != s["bestmove"])).alias("mismatch"),
+            F.when(both, F.abs(t["cp"] - s["cp"])).alias("error"),
+        )
+        return F.when(t.isNotNull() & s.isNotNull(), made)
+
+    depths = [d for d in students if d != teacher]
+    if not depths:
+        return F.array().cast("array<struct<student_depth:int,mismatch:boolean,error:int>>")
     engines = F.array_distinct(F.transform(P.OBS, lambda o: o["engine"]))
-    pairs = F.flatten(
-        F.transform(engines, lambda e: F.array(*[F.struct(F.lit(d).alias("depth"), at(e, teacher).alias("t"), at(e, d).alias("s")) for d in students]))
+    # A struct of each engine's observations at the wanted depths, so that every lookup is made once.
+    found = F.transform(
+        engines,
+        lambda e: F.struct(_at_depth(e, teacher).alias("t"), *[_at_depth(e, d).alias(f"s{i}") for i, d in enumerate(depths)]),
     )
-    one = records.select(F.inline(F.filter(pairs, lambda p: p["t"].isNotNull() & p["s"].isNotNull())))
-    error = F.when((F.col("t.kind") == "cp") & (F.col("s.kind") == "cp"), F.abs(F.col("t.cp") - F.col("s.cp")))
-    return one.groupBy(F.col("depth").alias("student_depth")).agg(
+    pairs = F.transform(found, lambda x: F.array(*[pair(x["t"], x[f"s{i}"], d) for i, d in enumerate(depths)]))
+    return F.array_compact(F.flatten(pairs))
+
+
+def audit_pairs(records: DataFrame, teacher: int, students: list[int]) -> DataFrame:
+    """idx, student_depth, mismatch and error of every pair (audit_pairs_of)."""
+    return records.select("idx", F.inline(audit_pairs_of(teacher, students)))
+
+
+def audit(records: DataFrame, teacher: int, students: list[int]) -> DataFrame:
+    """Pairs, mismatches and errors of audit_pairs per student depth."""
+    return audit_pairs(records, teacher, students).groupBy("student_depth").agg(
         F.count(F.lit(1)).alias("pairs"),
-        F.count_if(F.col("t.bestmove") != F.col("s.bestmove")).alias("mismatches"),
-        F.count(error).alias("compared"),
-        F.sum(error.cast("long")).alias("error_sum"),
-        F.max(error).alias("error_max"),
+        F.count_if("mismatch").alias("mismatches"),
+        F.count("error").alias("compared"),
+        F.sum(F.col("error").cast("long")).alias("error_sum"),
+        F.max("error").alias("error_max"),
     )
 
 
@@ -122,3 +155,45 @@ def ply_histogram(records: DataFrame, step: int) -> DataFrame:
         F.explode(F.sequence("lo", "hi", F.lit(step).cast("long"))).alias("bin")
     )
     return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+#: Cells are listed for values nobody has, unless the values span this many steps or more.
+MAX_STEPS = 50
+PHASES, SIDES = ("opening", "middlegame", "endgame"), ("black", "white")
+
+
+def coverage_status(n: Column, mean: Column, under: float, over: float) -> Column:
+    """How a cell's count stands to the mean of the observed cells."""
+    return F.when(n == 0, "MISSING").when(n < mean * under, "UNDER").when(n > mean * over, "OVER").otherwise("OK")
+
+
+def eval_coverage(records: DataFrame, under: float = 0.5, over: float = 2.0) -> DataFrame:
+    """phase, side, eval_bucket, n, status of every cell of phases, sides and value steps, empty ones too.
+
+    Cells without a value or with a mate are listed apart: their status is MISSING or "-". Only
+    the counts meet the list of cells, at most six times MAX_STEPS and the two marks.
+    """
+    step = (F.floor(P.eval_black() / P.EVAL_STEP) * P.EVAL_STEP).cast("long")
+    counts = prepared(records).groupBy("phase", "side", P.eval_bucket().alias("eval_bucket"), step.alias("_cp")).agg(F.count(F.lit(1)).alias("n"))
+    stats = counts.agg(
+        F.min("_cp").alias("lo"), F.max("_cp").alias("hi"), F.avg(F.when(F.col("_cp").isNotNull(), F.col("n"))).alias("_mean"),
+    )
+    none = F.array().cast("array<string>")
+    narrow = (F.col("hi") - F.col("lo")) / P.EVAL_STEP < MAX_STEPS
+    stepped = F.when(F.col("lo").isNull() | ~narrow, none).otherwise(
+        F.transform(F.sequence("lo", "hi", F.lit(P.EVAL_STEP).cast("long")), lambda v: v.cast("string"))
+    )
+    cells = stats.select(
+        F.explode(F.array(*map(F.lit, PHASES))).alias("phase"),
+        F.concat(F.array(F.lit("_none_"), F.lit("mate")), stepped).alias("_buckets"),
+    )
+    cells = cells.select("phase", F.explode(F.array(*map(F.lit, SIDES))).alias("side"), "_buckets")
+    cells = cells.select("phase", "side", F.explode("_buckets").alias("eval_bucket"))
+    mean = stats.select(F.col("_mean").alias("_any_mean"))
+    joined = cells.join(counts, ["phase", "side", "eval_bucket"], "full").crossJoin(F.broadcast(mean))  # one row
+    n = F.coalesce("n", F.lit(0))
+    status = coverage_status(n, F.col("_any_mean"), under, over)
+    marks = F.col("eval_bucket").isin("_none_", "mate")
+    return joined.select(
+        "phase", "side", "eval_bucket", n.alias("n"), F.when(marks & (n > 0), "-").when(n == 0, "MISSING").otherwise(status).alias("status")
+    )

@@ -149,10 +149,11 @@ def calibrate_cells(r: DataFrame) -> DataFrame:
 
 @_register(
     "audit_by_depth",
-    ", f AS (SELECT * FROM obs JOIN rec USING (idx) QUALIFY row_number() OVER (PARTITION BY idx, engine, requested_depth ORDER BY pos) = 1)"
-    " SELECT s.requested_depth AS student_depth, count(*) AS pairs, count(*) FILTER (t.bestmove <> s.bestmove) AS mismatches,"
+    ", obs_at AS (SELECT obs.*, d FROM obs JOIN rec USING (idx), (VALUES (12), (4), (6), (8)) v(d) WHERE requested_depth = d OR depth = d"
+    " QUALIFY row_number() OVER (PARTITION BY idx, engine, d ORDER BY requested_depth = d DESC, pos) = 1)"
+    " SELECT s.d AS student_depth, count(*) AS pairs, count(*) FILTER (t.bestmove <> s.bestmove AND t.bestmove <> 'resign' AND s.bestmove <> 'resign') AS mismatches,"
     " count(abs(t.cp - s.cp)) AS compared, sum(abs(t.cp - s.cp))::BIGINT AS error_sum, max(abs(t.cp - s.cp)) AS error_max"
-    " FROM f t JOIN f s ON t.idx = s.idx AND t.engine = s.engine AND t.requested_depth = 12 AND s.requested_depth IN (4, 6, 8) GROUP BY 1",
+    " FROM obs_at t JOIN obs_at s ON t.idx = s.idx AND t.engine = s.engine AND t.d = 12 AND s.d <> 12 GROUP BY 1",
 )
 def audit_by_depth(r: DataFrame) -> DataFrame:
     return O.audit(r, 12, [4, 6, 8])
