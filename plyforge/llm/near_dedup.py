@@ -6,13 +6,15 @@ the trees' first MIN_DEPTH coordinates are independent. Each tree is one global
 range-partitioned table of (tree, rotated signature): the neighbours of a text are those
 with the longest common prefix. A region is a run of signatures that share at least
 MIN_DEPTH coordinates; in a thin region all its texts are compared, in a crowded one the
-depth adapts, as the WINDOW nearest by prefix are. Texts in regions of their own never enter
+depth adapts, as the WINDOW nearest by prefix are first. Texts in regions of their own never enter
 the sort.
 
-Candidates are confirmed on the full sets. They come in two passes. The first takes each
+Candidates are confirmed on the full sets. They come in three passes. The first takes each
 text's best neighbour in each of FIRST_ORDERS trees, which is enough to join most of a group at a cost that
 grows with the texts, not the pairs. The second takes every remaining candidate whose ends are
-still in different components.
+still in different components. The third is for crowded regions that hold several components
+even then: it compares all their texts across components, whatever lies between them in the
+sort, block by block, so that WINDOW bounds no text's partners.
 
 Rows with equal sets are linked through the smallest doc_id of their set before any of that.
 """
@@ -37,6 +39,8 @@ COORDINATES = ORDERS * MIN_DEPTH
 #: Trees of the first pass, which joins most groups; the second pass has all trees.
 FIRST_ORDERS = 8
 WINDOW = 64
+#: Texts of a crowded region that are compared in one task, twice at most.
+BLOCK = 4096
 #: One-bit minima that screen candidates, for the texts of the forest only.
 SKETCH_BITS = 1024
 #: Standard errors below the wanted similarity down to which a pair is a candidate: 1 in 100,000 falls short.
@@ -148,6 +152,12 @@ def _sorted_trees(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("tree", "rotated", "doc_id").sortWithinPartitions("tree", "rotated", "doc_id")
 
 
+def _least_agreement(percent: int) -> int:
+    """Bits in which the sketches of a candidate pair agree at least."""
+    share = (1 + percent / 100) / 2
+    return int(SKETCH_BITS * share - SLACK * (SKETCH_BITS * share * (1 - share)) ** 0.5)
+
+
 def _neighbours(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
     """Candidate pairs a < b among rows (tree, rotated, doc_id, n_shingles, sketch, component) in sort order.
 
@@ -155,8 +165,7 @@ def _neighbours(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
     put it SLACK standard errors off. best_only: each row's best neighbour before and after it. Otherwise every candidate whose
     ends have different components.
     """
-    share = (1 + percent / 100) / 2
-    least = int(SKETCH_BITS * share - SLACK * (SKETCH_BITS * share * (1 - share)) ** 0.5)
+    least = _least_agreement(percent)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = np.empty(0, dtype=np.int64)
@@ -211,6 +220,58 @@ def _neighbours(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
     return rows.select("tree", "rotated", "doc_id", "n_shingles", "sketch", "component").mapInArrow(found, "a long, b long")
 
 
+def _across_blocks(crowded: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs a < b of different components among the texts of each crowded region.
+
+    A region's largest component is never compared with itself. The rest is cut into blocks by
+    hash, as is the largest component, and each two blocks that can hold a candidate meet in a
+    task of their own: neither a region's size nor its largest component's decides what a task holds.
+    """
+    least = _least_agreement(percent)
+    slot = lambda blocks: F.pmod(F.xxhash64("doc_id"), blocks)
+    others, largest = F.ceil(F.col("n_others") / BLOCK), F.ceil(F.col("n_largest") / BLOCK)
+    own = crowded.withColumn("at", F.when(F.col("component") == F.col("largest"), slot(largest)).otherwise(slot(others)))
+    meeting = lambda x, y, role: F.struct(x.alias("x"), y.alias("y"), role.alias("role"))
+    among = F.transform(
+        F.sequence(F.lit(0).cast("long"), others - 1),
+        lambda j: meeting(F.least("at", j), F.greatest("at", j), F.when(F.col("at") < j, 0).when(F.col("at") > j, 1).otherwise(2)),
+    )
+    against = F.transform(F.sequence(F.lit(0).cast("long"), largest - 1), lambda d: meeting(F.col("at"), -1 - d, F.lit(0)))
+    large = F.transform(F.sequence(F.lit(0).cast("long"), others - 1), lambda x: meeting(x, -1 - F.col("at"), F.lit(1)))
+    met = F.when(F.col("component") == F.col("largest"), large).otherwise(F.concat(among, against))
+    rows = own.select("tree", "head", "doc_id", "n_shingles", "sketch", "component", F.inline(met))
+
+    def found(table: pa.Table) -> pa.Table:
+        role = table.column("role").to_numpy()
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64)
+        ids, group, size = (table.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
+        left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+        pairs = [np.empty((0, 2), dtype=np.int64)]
+        for i in left:
+            apart = right[(group[right] != group[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
+            near = apart[SKETCH_BITS - np.bitwise_count(bits[apart] ^ bits[i]).sum(axis=1, dtype=np.int64) >= least]
+            pairs.append(np.stack([np.full(len(near), ids[i]), ids[near]], axis=1))
+        both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return rows.groupBy("tree", "head", "x", "y").applyInArrow(found, "a long, b long").distinct()
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Those of the rows (_neighbours) whose region has over WINDOW texts of several components, with its head, largest component, n_largest and n_others."""
+    headed = rows.withColumn("head", F.substring("rotated", 1, _HEAD)).drop("rotated")
+    # Counted by component first, so that a region that many texts share is no task's load.
+    parts = headed.groupBy("tree", "head", "component").agg(F.count(F.lit(1)).alias("n"))
+    regions = parts.groupBy("tree", "head").agg(
+        F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")
+    ).where((F.col("n") > WINDOW) & (F.col("n") > F.col("most.n")))
+    regions = staged(
+        regions.select("tree", "head", F.col("most.component").alias("largest"), F.col("most.n").alias("n_largest"), (F.col("n") - F.col("most.n")).alias("n_others")),
+        "regions",
+    )
+    return headed.join(broadcast_if_small(regions, regions.count(), 100), ["tree", "head"])
+
+
 def _confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose full sets have 100 * intersection >= percent * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
@@ -265,17 +326,26 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = connected_components(links)
 
     component = F.coalesce("component", "doc_id").alias("component")
-    again = forest.join(found, forest["doc_id"] == found["node"], "left").select(
-        "tree", "rotated", "doc_id", "n_shingles", "sketch", component
-    )
-    second = _neighbours(_sorted_trees(again), False, percent).distinct().join(first, ["a", "b"], "left_anti")
+
+    def with_components() -> DataFrame:
+        return forest.join(found, forest["doc_id"] == found["node"], "left").select(
+            "tree", "rotated", "doc_id", "n_shingles", "sketch", component
+        )
+
+    second = _neighbours(_sorted_trees(with_components()), False, percent).distinct().join(first, ["a", "b"], "left_anti")
     second = staged(second, "pairs")
     if not second.isEmpty():
-        more = _confirmed(second, documents, percent)
-        found = connected_components(links.unionByName(more))
+        links = links.unionByName(_confirmed(second, documents, percent))
+        found = connected_components(links)
+
+    third = _across_blocks(_crowded(with_components()), percent)
+    third = staged(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
+    if not third.isEmpty():
+        links = links.unionByName(_confirmed(third, documents, percent))
+        found = connected_components(links)
 
     # The result reads signed, classes and found alone.
-    for done in (forest, first, second):
+    for done in (forest, first, second, third):
         discard(documents.sparkSession, done)
     return (
         signed.join(classes, "set_key", "left")

@@ -99,6 +99,32 @@ def test_shingles_match_brute_force():
         assert len(pair[0][i] & pair[0][j]) == len(np.intersect1d(pair[1][i], pair[1][j]))
 
 
+def test_crowded_regions_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "WINDOW", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    pool = [rng.integers(1, 1 << 63, 200, dtype=np.uint64) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        tail = rng.integers(1, 1 << 63, rng.integers(0, 60), dtype=np.uint64)
+        own = np.concatenate([pool[i % 4], tail])
+        head = b"crowd!" if i < 50 else bytes([i]) * 6
+        rows.append((0, head + rng.bytes(138), i, len(own), near_dedup.sketch(own), 1 if i < 20 else i % 9 + 100))
+    frame = spark.createDataFrame(rows, "tree long, rotated binary, doc_id long, n_shingles long, sketch binary, component long")
+    got = {tuple(r) for r in near_dedup._across_blocks(near_dedup._crowded(frame), 75).collect()}
+    least, bits = near_dedup._least_agreement(75), [np.frombuffer(r[4], np.uint64) for r in rows]
+    want = set()
+    for a in range(50):
+        for b in range(a + 1, 50):
+            x, y = rows[a], rows[b]
+            agree = 1024 - int(np.bitwise_count(bits[a] ^ bits[b]).sum())
+            if x[5] != y[5] and 100 * min(x[3], y[3]) >= 75 * max(x[3], y[3]) and agree >= least:
+                want.add((a, b))
+    assert got == want and len(want) > 100
+    single = frame.where("component = 1")
+    assert near_dedup._across_blocks(near_dedup._crowded(single), 75).count() == 0
+
+
 def test_near_groups_match_brute_force(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(500)]
