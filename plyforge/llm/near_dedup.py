@@ -14,7 +14,7 @@ text's best neighbour in each of FIRST_ORDERS trees, which is enough to join mos
 grows with the texts, not the pairs. The second takes every remaining candidate whose ends are
 still in different components. The third is for crowded regions that hold several components
 even then: it compares all their texts across components, whatever lies between them in the
-sort, block by block, so that WINDOW bounds no text's partners.
+sort, block by block, so that WINDOW bounds no text's partners, and confirms them there.
 
 Rows with equal sets are linked through the smallest doc_id of their set before any of that.
 """
@@ -22,7 +22,7 @@ Rows with equal sets are linked through the smallest doc_id of their set before
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ COORDINATES = ORDERS * MIN_DEPTH
 #: Trees of the first pass, which joins most groups; the second pass has all trees.
 FIRST_ORDERS = 8
 WINDOW = 64
-#: Texts of a crowded region that are compared in one task, twice at most.
-BLOCK = 4096
+#: Shingles of a crowded region's texts that a task holds, twice at most, or those of one text.
+BLOCK = 1 << 20
 #: One-bit minima that screen candidates, for the texts of the forest only.
 SKETCH_BITS = 1024
 #: Standard errors below the wanted similarity down to which a pair is a candidate: 1 in 100,000 falls short.
@@ -88,20 +88,20 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits((mix(least) & np.uint64(1)).astype(np.uint8)).tobytes()
 
 
-def _sketches(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and sketch of the documents whose doc_id is among ids (_id)."""
+def _of_sets(documents: DataFrame, ids: DataFrame, name: str, value: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """doc_id and a value of the set of each document whose doc_id is among ids (_id)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                found = [sketch(s) for s in shingle_sets(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "sketch"])
+                found = [value(s) for s in shingle_sets(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", name])
 
     chosen = documents.select("doc_id", "text").join(
         broadcast_if_small(ids, ids.count(), 100), F.col("doc_id") == F.col("_id"), "left_semi"
     )
-    return chosen.mapInArrow(made, "doc_id long, sketch binary").dropDuplicates(["doc_id"])
+    return chosen.mapInArrow(made, f"doc_id long, {name} binary").dropDuplicates(["doc_id"])
 
 
 def features(documents: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def _forest(signed: DataFrame, documents: DataFrame) -> DataFrame:
     )
     shared = heads.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
     live = staged(heads.join(shared, "head").groupBy("doc_id").agg(F.collect_set("tree").alias("trees")), "live")
-    sketches = _sketches(documents, live.select(F.col("doc_id").alias("_id")))
+    sketches = _of_sets(documents, live.select(F.col("doc_id").alias("_id")), "sketch", sketch)
     turned = F.concat(
         F.substring("signature", F.col("tree") * _HEAD + 1, F.lit(_SIGNATURE)),
         F.substring("signature", F.lit(1), F.col("tree") * _HEAD),
@@ -220,58 +220,72 @@ def _neighbours(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
     return rows.select("tree", "rotated", "doc_id", "n_shingles", "sketch", "component").mapInArrow(found, "a long, b long")
 
 
-def _across_blocks(crowded: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs a < b of different components among the texts of each crowded region.
+def _crowded_regions(rows: DataFrame) -> DataFrame:
+    """Regions of the rows (_neighbours) with over WINDOW texts of several components: the largest one, and how many blocks it and the rest take."""
+    headed = rows.withColumn("head", F.substring("rotated", 1, _HEAD))
+    # Summed by component first, so that a region that many texts share is no task's load.
+    parts = headed.groupBy("tree", "head", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    regions = parts.groupBy("tree", "head").agg(F.max(F.struct("n", "component", "w")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    regions = regions.where((F.col("n") > WINDOW) & (F.col("n") > F.col("most.n")))
+    blocks = lambda w: F.ceil(w / BLOCK)
+    return regions.select(
+        "tree", "head", F.col("most.component").alias("largest"), blocks(F.col("most.w")).alias("m_largest"), blocks(F.col("w") - F.col("most.w")).alias("m_others")
+    )
 
-    A region's largest component is never compared with itself. The rest is cut into blocks by
-    hash, as is the largest component, and each two blocks that can hold a candidate meet in a
-    task of their own: neither a region's size nor its largest component's decides what a task holds.
+
+def _across_blocks(crowded: DataFrame, percent: int) -> DataFrame:
+    """Links a < b that join the components of each crowded region, one at least of each two that a link joins.
+
+    crowded: rows (_neighbours) with their region (_crowded_regions) and hashes, their sets. A
+    region's largest component is never compared with itself. The rest is cut into blocks by hash,
+    as is the largest component, and each two blocks that can hold a link meet in a task of
+    their own, so that no task's load grows with the region. Pairs are screened as candidates are, and
+    confirmed on their full sets at once: they are never rows. A pair that shares a region in an
+    earlier tree is left to that one.
     """
     least = _least_agreement(percent)
     slot = lambda blocks: F.pmod(F.xxhash64("doc_id"), blocks)
-    others, largest = F.ceil(F.col("n_others") / BLOCK), F.ceil(F.col("n_largest") / BLOCK)
-    own = crowded.withColumn("at", F.when(F.col("component") == F.col("largest"), slot(largest)).otherwise(slot(others)))
+    others, largest = F.col("m_others"), F.col("m_largest")
+    is_largest = F.col("component") == F.col("largest")
+    own = crowded.withColumn("at", F.when(is_largest, slot(largest)).otherwise(slot(others)))
     meeting = lambda x, y, role: F.struct(x.alias("x"), y.alias("y"), role.alias("role"))
+    zero = F.lit(0).cast("long")
     among = F.transform(
-        F.sequence(F.lit(0).cast("long"), others - 1),
+        F.sequence(zero, others - 1),
         lambda j: meeting(F.least("at", j), F.greatest("at", j), F.when(F.col("at") < j, 0).when(F.col("at") > j, 1).otherwise(2)),
     )
-    against = F.transform(F.sequence(F.lit(0).cast("long"), largest - 1), lambda d: meeting(F.col("at"), -1 - d, F.lit(0)))
-    large = F.transform(F.sequence(F.lit(0).cast("long"), others - 1), lambda x: meeting(x, -1 - F.col("at"), F.lit(1)))
-    met = F.when(F.col("component") == F.col("largest"), large).otherwise(F.concat(among, against))
-    rows = own.select("tree", "head", "doc_id", "n_shingles", "sketch", "component", F.inline(met))
+    against = F.transform(F.sequence(zero, largest - 1), lambda d: meeting(F.col("at"), -1 - d, F.lit(0)))
+    large = F.transform(F.sequence(zero, others - 1), lambda x: meeting(x, -1 - F.col("at"), F.lit(1)))
+    met = F.when(is_largest, large).otherwise(F.concat(among, against))
+    rows = own.select("tree", "head", "rotated", "doc_id", "n_shingles", "sketch", "component", "hashes", F.inline(met))
 
     def found(table: pa.Table) -> pa.Table:
+        tree = table.column("tree")[0].as_py()
         role = table.column("role").to_numpy()
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_BITS // 64)
-        ids, group, size = (table.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
-        pairs = [np.empty((0, 2), dtype=np.int64)]
-        for i in left:
+        turned = np.frombuffer(b"".join(table.column("rotated").to_pylist()), dtype=np.uint16).reshape(-1, ORDERS, MIN_DEPTH)
+        earlier = turned[:, ORDERS - tree :]
+        ids, size = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles"))
+        group, hashes = table.column("component").to_numpy().copy(), table.column("hashes")
+        pairs = []
+        right = np.flatnonzero(role != 0)
+        for i in np.flatnonzero(role != 1):
+            mine = np.frombuffer(hashes[i].as_py(), dtype=np.uint64)
             apart = right[(group[right] != group[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
-            near = apart[SKETCH_BITS - np.bitwise_count(bits[apart] ^ bits[i]).sum(axis=1, dtype=np.int64) >= least]
-            pairs.append(np.stack([np.full(len(near), ids[i]), ids[near]], axis=1))
-        both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+            apart = apart[SKETCH_BITS - np.bitwise_count(bits[apart] ^ bits[i]).sum(axis=1, dtype=np.int64) >= least]
+            apart = apart[~(earlier[apart] == earlier[i]).all(axis=2).any(axis=1)]
+            for k in apart:
+                if group[k] == group[i]:
+                    continue
+                common = len(np.intersect1d(mine, np.frombuffer(hashes[k].as_py(), dtype=np.uint64), assume_unique=True))
+                if common and 100 * common >= percent * (size[i] + size[k] - common):
+                    pairs.append(sorted((int(ids[i]), int(ids[k]))))
+                    group[group == group[k]] = group[i]
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
 
     return rows.groupBy("tree", "head", "x", "y").applyInArrow(found, "a long, b long").distinct()
 
 
-def _crowded(rows: DataFrame) -> DataFrame:
-    """Those of the rows (_neighbours) whose region has over WINDOW texts of several components, with its head, largest component, n_largest and n_others."""
-    headed = rows.withColumn("head", F.substring("rotated", 1, _HEAD)).drop("rotated")
-    # Counted by component first, so that a region that many texts share is no task's load.
-    parts = headed.groupBy("tree", "head", "component").agg(F.count(F.lit(1)).alias("n"))
-    regions = parts.groupBy("tree", "head").agg(
-        F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")
-    ).where((F.col("n") > WINDOW) & (F.col("n") > F.col("most.n")))
-    regions = staged(
-        regions.select("tree", "head", F.col("most.component").alias("largest"), F.col("most.n").alias("n_largest"), (F.col("n") - F.col("most.n")).alias("n_others")),
-        "regions",
-    )
-    return headed.join(broadcast_if_small(regions, regions.count(), 100), ["tree", "head"])
-
-
 def _confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose full sets have 100 * intersection >= percent * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
@@ -338,14 +352,20 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         links = links.unionByName(_confirmed(second, documents, percent))
         found = connected_components(links)
 
-    third = _across_blocks(_crowded(with_components()), percent)
-    third = staged(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
-    if not third.isEmpty():
-        links = links.unionByName(_confirmed(third, documents, percent))
-        found = connected_components(links)
+    regions = staged(_crowded_regions(with_components()), "regions")
+    if not regions.isEmpty():
+        headed = with_components().withColumn("head", F.substring("rotated", 1, _HEAD))
+        crowded = staged(headed.join(broadcast_if_small(regions, regions.count(), 100), ["tree", "head"]), "crowded")
+        ids = staged(crowded.select(F.col("doc_id").alias("_id")).distinct(), "ids")
+        sets = _of_sets(documents, ids, "hashes", np.ndarray.tobytes)
+        third = staged(_across_blocks(crowded.join(sets, "doc_id"), percent), "links")
+        for done in (crowded, ids):
+            discard(documents.sparkSession, done)
+        if not third.isEmpty():
+            found = connected_components(links.unionByName(third))
 
     # The result reads signed, classes and found alone.
-    for done in (forest, first, second, third):
+    for done in (forest, first, second, regions):
         discard(documents.sparkSession, done)
     return (
         signed.join(classes, "set_key", "left")

@@ -101,28 +101,30 @@ def test_shingles_match_brute_force():
 
 def test_crowded_regions_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "WINDOW", 4)
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "BLOCK", 1500)
     rng = np.random.default_rng(3)
-    pool = [rng.integers(1, 1 << 63, 200, dtype=np.uint64) for _ in range(4)]
-    rows = []
+    pool = [np.unique(rng.integers(1, 1 << 63, 200, dtype=np.uint64)) for _ in range(4)]
+    rows, sets = [], []
     for i in range(60):
-        tail = rng.integers(1, 1 << 63, rng.integers(0, 60), dtype=np.uint64)
-        own = np.concatenate([pool[i % 4], tail])
+        own = np.unique(np.concatenate([pool[i % 4], rng.integers(1, 1 << 63, rng.integers(0, 60), dtype=np.uint64)]))
         head = b"crowd!" if i < 50 else bytes([i]) * 6
-        rows.append((0, head + rng.bytes(138), i, len(own), near_dedup.sketch(own), 1 if i < 20 else i % 9 + 100))
-    frame = spark.createDataFrame(rows, "tree long, rotated binary, doc_id long, n_shingles long, sketch binary, component long")
-    got = {tuple(r) for r in near_dedup._across_blocks(near_dedup._crowded(frame), 75).collect()}
-    least, bits = near_dedup._least_agreement(75), [np.frombuffer(r[4], np.uint64) for r in rows]
-    want = set()
-    for a in range(50):
-        for b in range(a + 1, 50):
-            x, y = rows[a], rows[b]
-            agree = 1024 - int(np.bitwise_count(bits[a] ^ bits[b]).sum())
-            if x[5] != y[5] and 100 * min(x[3], y[3]) >= 75 * max(x[3], y[3]) and agree >= least:
-                want.add((a, b))
-    assert got == want and len(want) > 100
-    single = frame.where("component = 1")
-    assert near_dedup._across_blocks(near_dedup._crowded(single), 75).count() == 0
+        rows.append((0, head + rng.bytes(138), i, len(own), near_dedup.sketch(own), 1 if i < 20 else i, own.tobytes()))
+        sets.append(set(own.tolist()))
+    frame = spark.createDataFrame(rows, "tree long, rotated binary, doc_id long, n_shingles long, sketch binary, component long, hashes binary")
+    crowded = frame.withColumn("head", F.substring("rotated", 1, 6)).join(near_dedup._crowded_regions(frame), ["tree", "head"])
+    assert crowded.count() == 50 and crowded.first().m_others > 2
+    got = [tuple(r) for r in near_dedup._across_blocks(crowded, 75).collect()]
+
+    def classes(links):
+        label = [r[5] for r in rows[:50]]
+        for a, b in links:
+            label = [label[a] if x == label[b] else x for x in label]
+        return len(set(label)), {tuple(i for i in range(50) if label[i] == x) for x in label}
+
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    assert all(a < b and linked(a, b) for a, b in got)
+    assert classes(got) == classes([(a, b) for a in range(50) for b in range(a + 1, 50) if linked(a, b)])
+    assert near_dedup._crowded_regions(frame.where("component = 1")).count() == 0
 
 
 def test_near_groups_match_brute_force(spark):
