@@ -46,6 +46,8 @@ SKETCH_BITS = 1024
 #: Standard errors below the wanted similarity down to which a pair is a candidate: 1 in 100,000 falls short.
 SLACK = 4.3
 PERCENT = 75
+#: Texts whose sets a task holds at once.
+TEXTS = 128
 
 _COORD_BYTES = 2
 _SIGNATURE = COORDINATES * _COORD_BYTES
@@ -93,8 +95,8 @@ def _of_sets(documents: DataFrame, ids: DataFrame, name: str, value: Callable[[n
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
                 found = [value(s) for s in shingle_sets(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", name])
 
@@ -109,8 +111,8 @@ def features(documents: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
                 sets = shingle_sets(part.column("text").to_pylist())
                 full = [s for s in sets if len(s)]
                 signed = iter(signatures(full))
