@@ -1,12 +1,13 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are built from a bounded sample of labelled texts: one ends in
-segments that toxic texts have and ordinary texts lack, the other in segments of ordinary
-texts. Both start with the same dictionary trained on ordinary texts, so that a window's two
-compressed lengths differ only by what the class segments explain. A text is cut into
-windows at white space, every window is compressed under both dictionaries, and the length
-differences give features that a logistic model, with thresholds fitted on part of the
-sample that the dictionaries have not seen, turns into a score.
+segments that stand in a larger share of toxic texts than of ordinary ones, words and stems
+of any language, the other in blanks. Both start with the same dictionary trained on ordinary
+texts, so that a window's two compressed lengths differ only by what the segments explain. A
+text is cut into windows at white space, every window is compressed under both dictionaries,
+and the length differences give features, counts of strong and weak windows among them, that
+a logistic model turns into a score. The levels that make a window strong or weak and the
+weights are fitted on part of the sample that the dictionaries have not seen.
 
 Only the fit is bounded (``max_labelled``); scoring covers every whole text.
 """
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,14 +31,18 @@ WINDOW = 48
 BASE_BYTES = 8192
 BASE_WINDOWS = 20_000
 SEGMENT_BYTES = (48, 80, 160, 320, 640)
-CLIP = np.array([64.0, 8.0, 12.0, 12.0, 0.5, 64.0])
+CLIP = np.array([64.0, 8.0, 12.0, 12.0, 0.5, 0.5, 64.0, 8.0])
 THRESHOLD = 0.3
-#: A segment stands in at least this share of its class's texts: one family of copies must not make it.
-MIN_SHARE = 0.05
+#: What a window must gain to be weak, and to be strong: the pairs that the fit compares.
+LEVELS = tuple((weak, strong) for strong in range(2, 8) for weak in range(1, min(strong, 4)))
+MARK_BYTES = (5, 6, 7, 8)
+#: A substring stands in so many toxic texts at least, copies counted once.
+MIN_TEXTS = 3
+MAX_SEGMENTS = 200
+#: Bytes in a row that a window of the base must not share with a segment.
+PIECE = 7
 MAX_LABELLED = 8_000
 
-_TOKEN = re.compile(rb"\S+")
-
 
 def windows_of(text: str, size: int = WINDOW) -> list[bytes]:
     """The lower-cased UTF-8 bytes in pieces of at most size, cut at white space where there is any."""
@@ -67,21 +71,35 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=loaded, compression_params=_parameters())
 
 
+def _spaced(text: str) -> str:
+    """The text with one blank for every run of white space."""
+    return " ".join(text.split())
+
+
+def _windows(text: str) -> list[bytes]:
+    """The text's windows, each after a blank, so that a word's start looks the same everywhere."""
+    return [b" " + window for window in windows_of(_spaced(text))]
+
+
 class Distance:
-    """Features of a text from its windows' lengths under the two dictionaries."""
+    """Lengths of a text's windows under the two dictionaries."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self._toxic, self._ordinary = _compressor(toxic).compress, _compressor(ordinary).compress
 
-    def features(self, text: str) -> np.ndarray:
-        windows = windows_of(text)
-        if not windows:
-            return np.zeros(len(CLIP))
+    def gains(self, text: str) -> np.ndarray:
+        """The bytes that the toxic dictionary saves in each window against the ordinary one."""
         toxic, ordinary = self._toxic, self._ordinary
-        gain = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows], dtype=np.float64)
-        top = np.sort(gain)[-3:]
-        strong = (gain >= 3).sum()
-        return np.array([top[-1], gain.mean(), strong, (gain >= 2).sum(), strong / len(gain), top.sum()])
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in _windows(text)], dtype=np.float64)
+
+
+def features(gain: np.ndarray, levels: tuple[int, int]) -> np.ndarray:
+    """Features of a text from its windows' gains; zeros without windows."""
+    if not len(gain):
+        return np.zeros(len(CLIP))
+    n, top = len(gain), np.sort(gain)[-3:]
+    weak, strong = ((gain >= level).sum() for level in levels)
+    return np.array([top[-1], gain.mean(), strong, weak, strong / n, weak / n, top.sum(), math.log(n)])
 
 
 def _scaled(features: np.ndarray) -> np.ndarray:
@@ -93,45 +111,92 @@ class ToxicityModel:
     toxic: bytes
     ordinary: bytes
     weights: tuple[float, ...]
+    levels: tuple[int, int] = LEVELS[0]
     threshold: float = THRESHOLD
 
     def scorer(self):
         distance, weights = Distance(self.toxic, self.ordinary), np.array(self.weights)
 
         def score(text: str | None) -> float:
-            z = weights[0] + _scaled(distance.features(text or "")) @ weights[1:]
+            z = weights[0] + _scaled(features(distance.gains(text or ""), self.levels)) @ weights[1:]
             return float(1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))))
 
         return score
 
 
-def _segments(rows: list[tuple[str, int]]) -> tuple[list[bytes], list[bytes]]:
-    """Words that many texts of one class have and few of the other: toxic ones, ordinary ones, best first."""
-    counts = (Counter(), Counter())
-    sizes = [0, 0]
+def _marks_of(raw: np.ndarray, size: int) -> np.ndarray:
+    """The distinct substrings of size bytes, 8 at most, without a blank but as first byte; as sorted integers."""
+    n = max(0, len(raw) - size + 1)
+    keys, whole = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(size):
+        keys |= raw[k : k + n].astype(np.uint64) << np.uint64(8 * (7 - k))
+        if k:
+            whole &= raw[k : k + n] != 32
+    return np.unique(keys[whole])
+
+
+def _marks(rows: list[tuple[str, int]]) -> dict[bytes, float]:
+    """Substrings of words that at least three times the share of toxic texts has, with their worth.
+
+    Every text counts once for a substring, whatever its length or language. The worth is the
+    count in toxic texts times the log odds times the bytes that a match can save.
+    """
+    texts = ([], [])
     for text, label in rows:
-        counts[label].update(set(_TOKEN.findall(text.lower().encode("utf-8", "surrogatepass"))))
-        sizes[label] += 1
-    found = []
-    for label in (1, 0):
-        own, other, n_own, n_other = counts[label], counts[1 - label], sizes[label], sizes[1 - label]
-        ranked = []
-        for word, n in own.items():
-            excess = math.log((n + 0.5) / (n_own + 1)) - math.log((other[word] + 0.5) / (n_other + 1))
-            if n >= max(3, MIN_SHARE * n_own) and excess > math.log(3) and len(word) <= WINDOW:
-                ranked.append((-n * excess, word))
-        found.append([word for _, word in sorted(ranked)])
-    return found[0], found[1]
-
-
-def _tail(words: list[bytes], size: int) -> bytes:
-    """The best words that fit, separated by blanks; the best stand last, nearest to the data."""
-    out = b" "
-    for word in words:
-        if len(out) + len(word) + 1 > size:
-            break
-        out = b" " + word + out
-    return b" " * (size - len(out)) + out
+        raw = b" " + _spaced(text).lower().encode("utf-8", "surrogatepass")
+        texts[label].append(np.frombuffer(raw, np.uint8))
+    found = {}
+    for size in MARK_BYTES:
+        keys, own = np.unique(np.concatenate([_marks_of(raw, size) for raw in texts[1]]), return_counts=True)
+        keys, own = keys[own >= MIN_TEXTS], own[own >= MIN_TEXTS]
+        if not len(keys):
+            continue
+        other = np.zeros(len(keys), np.int64)
+        for raw in texts[0]:
+            seen = _marks_of(raw, size)
+            at = np.minimum(np.searchsorted(keys, seen), len(keys) - 1)
+            other[at[keys[at] == seen]] += 1
+        excess = np.log((own + 0.5) / (len(texts[1]) + 1)) - np.log((other + 0.5) / (len(texts[0]) + 1))
+        for k in np.flatnonzero(excess > math.log(3)):
+            found[int(keys[k]).to_bytes(8, "big")[:size]] = float(own[k] * excess[k] * (size - 3))
+    return found
+
+
+def _segments(marks: dict[bytes, float]) -> list[bytes]:
+    """The marks of most worth first, overlapping ones fused into words and stems.
+
+    A mark that overlaps a segment at its end is added to it if it has half its worth; any
+    other mark that shares five bytes with a segment is left out as a variant of it.
+    """
+    segments, worths = [], []
+    for mark in sorted(marks, key=lambda m: (-marks[m], m)):
+        fives = [mark[k : k + 5] for k in range(len(mark) - 4)]
+        at = next((k for k, own in enumerate(segments) if any(five in own for five in fives)), None)
+        if at is None:
+            if len(segments) == MAX_SEGMENTS:
+                break
+            segments.append(mark)
+            worths.append(marks[mark])
+        elif mark not in (own := segments[at]) and marks[mark] >= worths[at] / 2 and len(own) < WINDOW // 2:
+            for k in range(len(mark) - 1, 4, -1):
+                if own.startswith(mark[-k:]):
+                    segments[at] = mark[:-k] + own
+                    break
+                if own.endswith(mark[:k]):
+                    segments[at] = own + mark[k:]
+                    break
+    return segments
+
+
+def _fitting(segments: list[bytes], size: int) -> list[bytes]:
+    """The best segments that fit into size bytes with a byte between them."""
+    ends = np.cumsum([len(segment) + 1 for segment in segments])
+    return segments[: int(np.searchsorted(ends, size - 1, "right"))]
+
+
+def _tail(segments: list[bytes], size: int) -> bytes:
+    """The segments separated by line ends; the best stand last, nearest to the data."""
+    return (b"".join(segment + b"\n" for segment in reversed(segments)) + b" ").rjust(size)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -154,27 +219,36 @@ def _log_loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 
 
 def _dictionaries(rows: list[tuple[str, int]]):
-    """size -> (toxic dictionary, ordinary dictionary) built from rows, for any size of the class segments."""
-    samples = [w for text, label in rows if not label for w in windows_of(text)]
-    samples = [samples[i] for i in np.random.default_rng(7).permutation(len(samples))[:BASE_WINDOWS]]
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, samples, k=64, d=6, level=3).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself serves
-        base = b" ".join(samples)[-BASE_BYTES:]
-    toxic, ordinary = _segments(rows)
-    return lambda size: (base + _tail(toxic, size), base + _tail(ordinary, size))
+    """size -> (toxic dictionary, ordinary dictionary) built from rows, for any size of the toxic segments."""
+    segments = _segments(_marks(rows))
+    windows = [w for text, label in rows if not label for w in _windows(text)]
+    windows = [windows[i] for i in np.random.default_rng(7).permutation(len(windows))[:BASE_WINDOWS]]
+
+    def built(size: int) -> tuple[bytes, bytes]:
+        toxic = _fitting(segments, size)
+        # Windows that share much with a segment stay out of the base, or it would explain the segment under both dictionaries.
+        pieces = {own[k : k + PIECE] for own in toxic for k in range(max(1, len(own) - PIECE + 1))}
+        told = re.compile(b"|".join(map(re.escape, sorted(pieces))) or b"(?!)")
+        samples = [w for w in windows if not told.search(w)]
+        try:
+            base = zstandard.train_dictionary(BASE_BYTES, samples, k=64, d=6, level=3).as_bytes()
+        except zstandard.ZstdError:  # too little text to train on: the text itself serves
+            base = b" ".join(samples)[-BASE_BYTES:]
+        return base + _tail(toxic, size), base + _tail([], size)
+
+    return built
 
 
 def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
     """Fit dictionaries and calibration on labelled texts (text, 0 or 1).
 
-    The rows of each class are dealt to two halves. Each half's dictionaries measure the other
-    half, and over all those features the size of the class segments is chosen and the
-    logistic weights are fitted; the model's own dictionaries are built from all rows. Without
-    rows of both classes in either half the model gives every text the share of label 1 among
+    Repeated rows count once. The rows of each class are dealt to two halves. Each half's
+    dictionaries measure the other half, and over all those features the size of the toxic
+    segments and the levels of weak and strong windows are chosen and the logistic weights are
+    fitted; the model's own dictionaries are built from all rows. Without rows of both classes in either half the model gives every text the share of label 1 among
     the rows, or next to 0 without rows.
     """
-    rows = [(text or "", int(label)) for text, label in rows]
+    rows = list(dict.fromkeys((text or "", int(label)) for text, label in rows))
     by_class = [[row for row in rows if row[1] == label] for label in (0, 1)]
     halves = [[row for own in by_class for row in own[k::2]] for k in (0, 1)]
     if any(len({label for _, label in half}) < 2 for half in halves):
@@ -188,14 +262,15 @@ def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
         measured = []
         for built, tune in folds:
             distance = Distance(*built(size))
-            measured += [distance.features(text) for text, _ in tune]
-        x = _scaled(np.array(measured))
-        w = _logistic(x, y)
-        loss = _log_loss(x, y, w)
-        if best is None or loss < best[0] - 1e-4:
-            best = loss, size, w
-    _, size, w = best
-    return ToxicityModel(*_dictionaries(rows)(size), tuple(float(v) for v in w))
+            measured += [distance.gains(text) for text, _ in tune]
+        for levels in LEVELS:
+            x = _scaled(np.array([features(gain, levels) for gain in measured]))
+            w = _logistic(x, y)
+            loss = _log_loss(x, y, w)
+            if best is None or loss < best[0] - 1e-4:
+                best = loss, size, levels, w
+    _, size, levels, w = best
+    return ToxicityModel(*_dictionaries(rows)(size), tuple(float(v) for v in w), levels)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[tuple[str, int]]:

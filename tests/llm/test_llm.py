@@ -67,6 +67,34 @@ def test_toxicity_held_out(spark):
     assert 0 <= score(None) == score("") < model.threshold
 
 
+def test_toxicity_stems_of_rare_languages():
+    rng = random.Random(5)
+    syllables = ["".join(p) for p in itertools.product("bdfglmnrst", "aeiou")]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    stems = {"a": "schwachk", "b": "imbécil", "c": "estúpid"}
+
+    def text(language, toxic):
+        own = [word(rng.randint(1, 3)) for _ in range(120)]
+        for k in rng.sample(range(120), 5 if toxic else rng.random() < 0.1):
+            own[k] = stems[language] + word(rng.randint(1, 2))
+        return " ".join(own)
+
+    rows = [("abc"[i % 3], int(i % 10 == 0)) for i in range(1500)]
+    rows = [(language, text(language, label), label) for language, label in rows]
+    score = (model := toxicity.fit([(t, y) for _, t, y in rows[:1000]])).scorer()
+    found = Counter((language, y, score(t) >= model.threshold) for language, t, y in rows[1000:])
+    for language in stems:
+        assert found[language, 1, True] >= 0.8 * (found[language, 1, True] + found[language, 1, False])
+        assert found[language, 0, False] >= 0.97 * (found[language, 0, True] + found[language, 0, False])
+
+
+def test_toxicity_copies_count_once():
+    copies = [("one family of copies with zzyzxword in it " * 3, 1)] * 40
+    rows = [(f"text {i} " + ("nitwit dolt nitwit" if i % 4 == 0 else "plain words here"), int(i % 4 == 0)) for i in range(200)]
+    one, many = toxicity.fit(rows + copies[:1]), toxicity.fit(rows + copies)
+    assert one == many and b"zzyzx" not in many.toxic
+
+
 def test_toxicity_edges(spark):
     for rows in ([], [("a", 1)], [(None, 0), (None, 1)] * 4):
         assert 0 <= toxicity.fit(rows).scorer()("text") <= 1
