@@ -95,6 +95,21 @@ def test_toxicity_copies_count_once():
     assert one == many and b"zzyzx" not in many.toxic
 
 
+def test_toxicity_levels_are_fitted(monkeypatch):
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choices(["plain", "words", "stand", "here"], k=40)), int(i % 4 == 0)) for i in range(240)]
+    rows = [(f"{i} {t} " + "blockhead " * y, y) for i, (t, y) in enumerate(rows)]
+    losses = {}
+    for levels in toxicity.LEVELS:
+        measured, loss = [], toxicity._log_loss
+        with monkeypatch.context() as only:
+            only.setattr(toxicity, "LEVELS", (levels,))
+            only.setattr(toxicity, "_log_loss", lambda *a, m=measured, f=loss: m.append(f(*a)) or m[-1])
+            assert toxicity.fit(rows).levels == levels
+        losses[levels] = min(measured)
+    assert losses[toxicity.fit(rows).levels] <= min(losses.values()) + 1e-3
+
+
 def test_toxicity_edges(spark):
     for rows in ([], [("a", 1)], [(None, 0), (None, 1)] * 4):
         assert 0 <= toxicity.fit(rows).scorer()("text") <= 1
