@@ -11,14 +11,29 @@ from pyspark.sql import functions as F
 from plyforge.session import ship
 
 
+#: Rows of an Arrow batch: texts of any length go to Python and back, and both sides hold whole batches.
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 
-    Only where the setting is absent, as in tests, a temporary folder is made and used
-    for the rest of the session.
+    Only where the setting is absent and the master is local, as in tests, a temporary folder
+    is made and used for the rest of the session: on a cluster executors would write to their
+    own disks, so that there the absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="plyforge-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -34,6 +49,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: what follows does not depend on the executors that computed df.
     """
+    bound_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -49,6 +65,7 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,10 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from a bounded sample of labelled texts: one ends in
-segments that stand in a larger share of toxic texts than of ordinary ones, words and stems
-of any language, the other in blanks. Both start with the same dictionary trained on ordinary
-texts, so that a window's two compressed lengths differ only by what the segments explain. A
-text is cut into windows at white space, every window is compressed under both dictionaries,
+Two zstandard dictionaries of equal size are built from a bounded sample of labelled texts:
+one ends in segments that stand in a larger share of toxic texts than of ordinary ones, words
+and stems of any language, the other in segments chosen in the same way from ordinary texts.
+Both start with the same dictionary trained on ordinary texts, so that a window's two
+compressed lengths differ only by what the segments explain. A text is cut into windows at white space, every window is compressed under both dictionaries,
 and the length differences give features, counts of strong and weak windows among them, that
 a logistic model turns into a score. The levels that make a window strong or weak and the
 weights are fitted on part of the sample that the dictionaries have not seen.
@@ -22,13 +22,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyforge.llm.common import crc32_of_id, table
 
 WINDOW = 48
 BASE_BYTES = 8192
+#: The second bound of the fit besides max_labelled: windows that the common part of the dictionaries is trained on.
 BASE_WINDOWS = 20_000
 SEGMENT_BYTES = (48, 80, 160, 320, 640)
 CLIP = np.array([64.0, 8.0, 12.0, 12.0, 0.5, 0.5, 64.0, 8.0])
@@ -41,7 +42,11 @@ MIN_TEXTS = 3
 MAX_SEGMENTS = 200
 #: Bytes in a row that a window of the base must not share with a segment.
 PIECE = 7
+MARKS_AT_ONCE = 1 << 20
+#: The bounds of what is fitted: labelled texts, and characters of each; of a longer one, PARTS evenly spaced parts.
 MAX_LABELLED = 8_000
+MAX_CHARS = 1 << 16
+PARTS = 64
 
 
 def windows_of(text: str, size: int = WINDOW) -> list[bytes]:
@@ -135,19 +140,35 @@ def _marks_of(raw: np.ndarray, size: int) -> np.ndarray:
     return np.unique(keys[whole])
 
 
-def _marks(rows: list[tuple[str, int]]) -> dict[bytes, float]:
-    """Substrings of words that at least three times the share of toxic texts has, with their worth.
+def _counted_marks(texts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct _marks_of all the texts, sorted, and in how many texts each stands; merged a portion at a time."""
+    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    held, n = [], 0
+    for k, raw in enumerate(texts):
+        held.append(_marks_of(raw, size))
+        n += len(held[-1])
+        if n >= MARKS_AT_ONCE or k == len(texts) - 1:
+            new, times = np.unique(np.concatenate(held), return_counts=True)
+            both, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            total = np.zeros(len(both), np.int64)
+            np.add.at(total, place, np.concatenate([counts, times]))
+            keys, counts, held, n = both, total, [], 0
+    return keys, counts
+
+
+def _marks(rows: list[tuple[str, int]], wanted: int = 1) -> dict[bytes, float]:
+    """Substrings of words that at least three times the share of the wanted label's texts has, with their worth.
 
     Every text counts once for a substring, whatever its length or language. The worth is the
-    count in toxic texts times the log odds times the bytes that a match can save.
+    count in the wanted label's texts times the log odds times the bytes that a match can save.
     """
     texts = ([], [])
     for text, label in rows:
         raw = b" " + _spaced(text).lower().encode("utf-8", "surrogatepass")
-        texts[label].append(np.frombuffer(raw, np.uint8))
+        texts[label == wanted].append(np.frombuffer(raw, np.uint8))
     found = {}
     for size in MARK_BYTES:
-        keys, own = np.unique(np.concatenate([_marks_of(raw, size) for raw in texts[1]]), return_counts=True)
+        keys, own = _counted_marks(texts[1], size)
         keys, own = keys[own >= MIN_TEXTS], own[own >= MIN_TEXTS]
         if not len(keys):
             continue
@@ -219,13 +240,13 @@ def _log_loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 
 
 def _dictionaries(rows: list[tuple[str, int]]):
-    """size -> (toxic dictionary, ordinary dictionary) built from rows, for any size of the toxic segments."""
-    segments = _segments(_marks(rows))
+    """size -> (toxic dictionary, ordinary dictionary) built from rows, for any size of the segments of either class."""
+    segments = [_segments(_marks(rows, label)) for label in (0, 1)]
     windows = [w for text, label in rows if not label for w in _windows(text)]
     windows = [windows[i] for i in np.random.default_rng(7).permutation(len(windows))[:BASE_WINDOWS]]
 
     def built(size: int) -> tuple[bytes, bytes]:
-        toxic = _fitting(segments, size)
+        ordinary, toxic = (_fitting(own, size) for own in segments)
         # Windows that share much with a segment stay out of the base, or it would explain the segment under both dictionaries.
         pieces = {own[k : k + PIECE] for own in toxic for k in range(max(1, len(own) - PIECE + 1))}
         told = re.compile(b"|".join(map(re.escape, sorted(pieces))) or b"(?!)")
@@ -234,7 +255,7 @@ def _dictionaries(rows: list[tuple[str, int]]):
             base = zstandard.train_dictionary(BASE_BYTES, samples, k=64, d=6, level=3).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the text itself serves
             base = b" ".join(samples)[-BASE_BYTES:]
-        return base + _tail(toxic, size), base + _tail([], size)
+        return base + _tail(toxic, size), base + _tail(ordinary, size)
 
     return built
 
@@ -243,7 +264,7 @@ def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
     """Fit dictionaries and calibration on labelled texts (text, 0 or 1).
 
     Repeated rows count once. The rows of each class are dealt to two halves. Each half's
-    dictionaries measure the other half, and over all those features the size of the toxic
+    dictionaries measure the other half, and over all those features the size of the
     segments and the levels of weak and strong windows are chosen and the logistic weights are
     fitted; the model's own dictionaries are built from all rows. Without rows of both classes in either half the model gives every text the share of label 1 among
     the rows, or next to 0 without rows.
@@ -273,10 +294,19 @@ def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
     return ToxicityModel(*_dictionaries(rows)(size), tuple(float(v) for v in w), levels)
 
 
+def _bounded(text: Column) -> Column:
+    """The whole text, or of one of more than MAX_CHARS characters PARTS evenly spaced parts, a blank between them."""
+    part, length = MAX_CHARS // PARTS, F.length(text)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring(text, (F.floor(i * (length - part) / (PARTS - 1)) + 1).cast("int"), F.lit(part)))
+    return F.when(length > MAX_CHARS, F.array_join(parts, " ")).otherwise(text)
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[tuple[str, int]]:
     """At most max_labelled labelled texts, in an order by hash that does not depend on partitions.
 
-    Rows whose crc32(doc_id) mod 4 is 2 are held out, as are labels that are null.
+    Rows whose crc32(doc_id) mod 4 is 2 are held out, as are labels that are null. Of rows with
+    one doc_id the smallest text serves. What is collected is bounded in rows and in the
+    characters of each (_bounded), on the executors.
     """
     chosen = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -284,15 +314,16 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int =
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
         .limit(max_labelled)
     )
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or "", r.toxic))]
+    rows = documents.select("doc_id", _bounded(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.toxic))]
 
 
 def score_documents(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents' doc_id with score (0 to 1) and predicted (score at the model's threshold or above).
 
-    Null and empty texts have no window and get the score of no evidence. Repeated rows are
-    scored each. Texts of any length are read whole, window by window.
+    Null and empty texts have no window and get the score of no evidence; a null doc_id stays
+    null. Repeated rows are scored each. Texts of any length are read whole, window by window.
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +356,5 @@ ORACLE_SQL = None
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit(labelled_sample(documents, table(spark, sf_dir, "labels")))
-    return score_documents(documents, model).select(
-        "doc_id", (crc32_of_id("doc_id") % 4 == 2).alias("held_out"), "score", "predicted"
-    )
+    held_out = F.coalesce(crc32_of_id("doc_id") % 4 == 2, F.lit(False))
+    return score_documents(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
