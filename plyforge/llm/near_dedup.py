@@ -39,12 +39,14 @@ COORDINATES = ORDERS * MIN_DEPTH
 #: Trees of the first pass, which joins most groups; the second pass has all trees.
 FIRST_ORDERS = 8
 WINDOW = 64
+#: Texts of a region that partitions of the sort may cut; smaller ones are whole in a task.
+CROWD = 1024
 #: Shingles of a crowded region's texts that a task holds, twice at most, or those of one text.
 BLOCK = 1 << 20
 #: One-bit minima that screen candidates, for the texts of the forest only.
 SKETCH_BITS = 1024
-#: Standard errors below the wanted similarity down to which a pair is a candidate: 1 in 100,000 falls short.
-SLACK = 4.3
+#: Standard errors below the wanted similarity down to which a pair is a candidate: 4 in 10,000,000 fall short.
+SLACK = 5.0
 PERCENT = 75
 #: Texts whose sets a task holds at once.
 TEXTS = 128
@@ -132,26 +134,32 @@ def features(documents: DataFrame) -> DataFrame:
 
 
 def _forest(signed: DataFrame, documents: DataFrame) -> DataFrame:
-    """Rows (tree, rotated, doc_id, n_shingles, sketch) in the sort order of each tree, without regions of one text."""
+    """Rows (tree, rotated, crowded, doc_id, n_shingles, sketch) of each tree, without regions of one text.
+
+    crowded: the text's region in the tree has over CROWD texts.
+    """
     trees = F.sequence(F.lit(0), F.lit(ORDERS - 1))
     heads = signed.select("doc_id", F.explode(trees).alias("tree"), "signature").select(
         "doc_id", "tree", F.xxhash64("tree", F.substring("signature", F.col("tree") * _HEAD + 1, F.lit(_HEAD))).alias("head")
     )
-    shared = heads.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
-    live = staged(heads.join(shared, "head").groupBy("doc_id").agg(F.collect_set("tree").alias("trees")), "live")
+    shared = heads.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head", (F.col("n") > CROWD).alias("crowded"))
+    live = staged(heads.join(shared, "head").groupBy("doc_id").agg(F.collect_set(F.struct("tree", "crowded")).alias("trees")), "live")
     sketches = _of_sets(documents, live.select(F.col("doc_id").alias("_id")), "sketch", sketch)
     turned = F.concat(
         F.substring("signature", F.col("tree") * _HEAD + 1, F.lit(_SIGNATURE)),
         F.substring("signature", F.lit(1), F.col("tree") * _HEAD),
     )
     rows = signed.join(live, "doc_id").join(sketches, "doc_id")
-    return rows.select("doc_id", "n_shingles", "signature", "sketch", F.explode("trees").alias("tree")).select(
-        "tree", turned.alias("rotated"), "doc_id", "n_shingles", "sketch"
+    return rows.select("doc_id", "n_shingles", "signature", "sketch", F.inline("trees")).select(
+        "tree", turned.alias("rotated"), "crowded", "doc_id", "n_shingles", "sketch"
     )
 
 
 def _sorted_trees(rows: DataFrame) -> DataFrame:
-    return rows.repartitionByRange("tree", "rotated", "doc_id").sortWithinPartitions("tree", "rotated", "doc_id")
+    """The rows in the order of (tree, rotated, doc_id), in ranges that cut crowded regions only."""
+    head = F.substring("rotated", 1, _HEAD)
+    deep = F.when(F.col("crowded"), F.concat("rotated", F.col("doc_id").cast("string").cast("binary")))
+    return rows.repartitionByRange(F.col("tree"), head, deep).sortWithinPartitions("tree", "rotated", "doc_id")
 
 
 def _least_agreement(percent: int) -> int:
@@ -328,12 +336,16 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     Documents are linked when 100 * intersection >= percent * union of their sets of distinct
     shingles; component_id is the smallest doc_id reachable. Texts without words, null ones
     too, have n_shingles 0 and are linked with nothing. doc_id is the identity: repeated rows
-    share it and their component; rows with a null doc_id are linked with nothing and kept.
+    share it and their component; rows with a null doc_id are linked with nothing, have a null
+    component_id and are kept.
     """
     signed = staged(features(documents), "signatures")
     linkable = signed.where("set_key is not null and doc_id is not null")
-    classes = staged(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    alone = linkable.join(classes, ["set_key"]).where("doc_id = rep").select("doc_id", "n_shingles", "signature").distinct()
+    # Equal sets have equal signatures: any one of them stands for all.
+    alone = linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
+    alone = staged(alone, "classes")
+    classes = alone.select("set_key", "rep")
+    alone = alone.select(F.col("rep").alias("doc_id"), "n_shingles", "signature")
 
     forest = staged(_forest(alone, documents), "forest")
     first = _neighbours(_sorted_trees(forest.where(F.col("tree") < FIRST_ORDERS).withColumn("component", F.col("doc_id"))), True, percent)
@@ -345,7 +357,7 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def with_components() -> DataFrame:
         return forest.join(found, forest["doc_id"] == found["node"], "left").select(
-            "tree", "rotated", "doc_id", "n_shingles", "sketch", component
+            "tree", "rotated", "crowded", "doc_id", "n_shingles", "sketch", component
         )
 
     second = _neighbours(_sorted_trees(with_components()), False, percent).distinct().join(first, ["a", "b"], "left_anti")
@@ -371,6 +383,7 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         discard(documents.sparkSession, done)
     return (
         signed.join(classes, "set_key", "left")
+        .withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.col("rep")))
         .join(found, F.col("rep") == F.col("node"), "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

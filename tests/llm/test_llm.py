@@ -203,6 +203,47 @@ def test_near_groups_match_brute_force(spark):
     assert near_dedup.near_groups(docs(spark, [])).count() == 0
 
 
+def test_no_link_is_lost_over_many_partitions(spark):
+    """All of sf0.01 in 64 range partitions and with regions that partitions cut, against every pair that shares a shingle."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = documents.collect()
+    sets = dict(zip([r.doc_id for r in rows], brute_sets([r.text for r in rows]), strict=True))
+    holders = {}
+    for i, own in sets.items():
+        for shingle in own:
+            holders.setdefault(shingle, []).append(i)
+    common = {}
+    for own in holders.values():
+        for pair in itertools.combinations(sorted(own), 2):
+            common[pair] = common.get(pair, 0) + 1
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    assert len(links) > 100
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for crowd in (near_dedup.CROWD, 2):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(near_dedup, "CROWD", crowd)
+            patch.setattr(near_dedup, "WINDOW", min(crowd, near_dedup.WINDOW))
+            try:
+                for k, v in conf.items():
+                    spark.conf.set(k, v)
+                got = {r.doc_id: r.component_id for r in near_dedup.near_groups(documents).collect()}
+            finally:
+                for k, v in before.items():
+                    spark.conf.set(k, v)
+        assert [(a, b) for a, b in links if got[a] != got[b]] == []
+        edges = spark.createDataFrame(links, "a long, b long")
+        want = {i: i for i in sets} | {r.node: r.component for r in connected_components(edges).collect()}
+        assert got == want
+
+
+def test_near_groups_without_identifier(spark):
+    rows = [(None, "one two three four five six"), (3, "one two three four five six"), (5, "one two three four five six"), (None, None)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id) == [(3, 2, 3, True), (5, 2, 3, False)]
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None) == [(0, None, True), (2, None, True)]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 40)] + [(5, 5), (8, 7), (8, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
