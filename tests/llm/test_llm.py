@@ -357,10 +357,22 @@ def test_license_edges(spark):
     texts = [*ODD, "x\nLicensed under CC BY-NC 4.0.\ny", "This program is free software: you can redistribute it and/or modify it under the\nterms of the GNU General Public License as published by the Free Software Foundation"]
     got = license_scan.scan_licenses(docs(spark, texts, CLASHES)).orderBy("doc_id").collect()
     assert [r.license for r in got] == [None] * len(ODD) + ["CC-BY-NC", "GPL"]
-    assert got[-2].license_line == 1 and got[-1].license_line == -1
+    assert got[-2].license_line == 1 and got[-1].license_line == 0
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_license_notices_that_are_wrapped_or_repeated(spark):
+    mit = next(w for name, w in license_scan.TEMPLATES if name == "MIT" and "NONINFRINGEMENT" in w)
+    gpl = "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU\nGeneral Public License as published by the Free Software Foundation"
+    words = mit.split()
+    wrapped = "\n".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+    prose = "nothing here speaks about that matter at all\n"
+    texts = [prose * 3 + wrapped + "\n\n" + prose * 400, wrapped, mit, *["\n".join([gpl] * n) for n in (1, 6, 8, 60)], prose * 9]
+    got = license_scan.scan_licenses(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.license for r in got] == ["MIT"] * 3 + ["GPL"] * 4 + [None]
+    assert [r.license_line for r in got][:3] == [3, 0, 0] and got[0].license_dice > 0.9 and got[2].license_dice == 1
+
+
 # ---------------------------------------------------------------- packing
 
 
