@@ -78,8 +78,9 @@ def http_payload(block: bytes) -> bytes:
     return body
 
 
-def record_id(page_id: int, segment: int = 1) -> str:
-    name = hashlib.md5(f"page {page_id} segment {segment}".encode(), usedforsecurity=False).digest()
+def record_id(page_id: int | None, segment: int = 1, copy: int = 0) -> str:
+    name = f"page {page_id} segment {segment}" + (f" copy {copy}" if copy else "")
+    name = hashlib.md5(name.encode(), usedforsecurity=False).digest()
     return f"<urn:uuid:{uuid.UUID(bytes=name)}>"
 
 
@@ -89,20 +90,21 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
 
 
 def page_records(
-    page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES
+    page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment_bytes: int = SEGMENT_BYTES, copy: int = 0
 ) -> Iterator[bytes]:
-    """The records of one page, without the separators that follow them."""
+    """The records of one page, without the separators that follow them; refers_to names the response that it revisits."""
+    own_id = record_id(page_id, 1, copy)
     uri = "".join(c if 0x20 < ord(c) != 0x7F else f"%{ord(c):02X}" for c in url) if url else f"urn:page:{page_id}"
     common = [
-        ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Record-ID", own_id),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
         ("WARC-Target-URI", uri),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
-        ("X-Page-ID", page_id),
+        *[("X-Page-ID", page_id)] * (page_id is not None),
     ]
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield _record([("WARC-Type", "revisit"), *common, ("WARC-Refers-To", record_id(refers_to)), ("WARC-Profile", profile)], b"")
+        yield _record([("WARC-Type", "revisit"), *common, ("WARC-Refers-To", refers_to), ("WARC-Profile", profile)], b"")
         return
     block = _HTTP + chunked(payload)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
@@ -111,9 +113,9 @@ def page_records(
     for number, part in enumerate(parts[1:], 2):
         own = [
             ("WARC-Type", "continuation"),
-            ("WARC-Record-ID", record_id(page_id, number)),
+            ("WARC-Record-ID", record_id(page_id, number, copy)),
             ("WARC-Date", "2024-01-01T00:00:00Z"),
-            ("WARC-Segment-Origin-ID", record_id(page_id)),
+            ("WARC-Segment-Origin-ID", own_id),
             ("WARC-Segment-Number", number),
         ]
         yield _record(own + [("WARC-Segment-Total-Length", len(block))] * (number == len(parts)), part)
@@ -136,21 +138,32 @@ def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
+def _numbered(own: DataFrame) -> DataFrame:
+    """The rows with copy: 0, but numbers of their own for rows without page_id and those that share one.
+
+    Only these rows are written on the way, so that their numbers are the same wherever they
+    are read. No window gathers the rows of one page_id.
+    """
+    repeats = staged(own.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or page_id is null"), "repeats")
+    if repeats.isEmpty():
+        return own.withColumn("copy", F.lit(0).cast("long"))
+    ids = broadcast_if_small(repeats.select(F.col("page_id").alias("_page")), repeats.count(), 20)
+    match = F.col("page_id").eqNullSafe(F.col("_page"))
+    copies = own.join(ids, match, "left_semi").withColumn("copy", F.monotonically_increasing_id() + 1)
+    return own.join(ids, match, "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(staged(copies, "copies"))
+
+
 def _roles(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """page_id, url, payload and refers_to, the page of the response that a revisit refers to."""
-    own = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    """page_id, url, payload, copy, and _first, the (page_id, minus copy) of the response that a revisit refers to."""
+    own = _numbered(pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")))
     sha = F.sha2("payload", 256).alias("_sha")
-    shared = (
-        own.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull())
-        .select("page_id", sha)
-        .groupBy("_sha")
-        .agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-    )
-    shared = staged(shared, "payloads")
+    place = F.struct(F.col("page_id"), (-F.col("copy")).alias("copy"))
+    known = F.col("page_id").isNotNull() & (F.octet_length("payload") >= min_bytes)
+    shared = own.where(known).select(place.alias("_place"), sha).groupBy("_sha").agg(F.max("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    shared = staged(shared.where("_n > 1"), "payloads")
     joined = own.withColumn("_sha", sha).join(broadcast_if_small(shared, shared.count(), 250), "_sha", "left")
-    refers = F.when(F.col("_first") != F.col("page_id"), F.col("_first")).alias("refers_to")
-    return joined.select("page_id", "url", "payload", refers)
+    refers = F.when(F.col("page_id").isNotNull() & (F.col("_first") != place), F.col("_first"))
+    return joined.select("page_id", "url", "payload", "copy", refers["page_id"].alias("refers_to"), (-refers["copy"]).alias("refers_copy"))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -158,7 +171,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment_byte
 
     Of pages with equal payloads of at least min_bytes, the largest page_id's is the response
     and the others revisit it. A null html is an empty payload, a null url a URN of the page.
-    page_id is the identity and must be unique; rows without one are an error.
+    Rows that share a page_id have records of their own, as have rows without one, which are
+    responses all, with no page in their fields.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +182,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment_byte
             for k in range(0, batch.num_rows, 200):
                 part, out = batch.slice(k, 200), []
                 for row in part.to_pylist():
-                    if row["page_id"] is None:
-                        raise WarcError("a page without page_id")
                     digest = base64.b32encode(hashlib.sha1(row["payload"], usedforsecurity=False).digest()).decode()
-                    out += page_records(row["page_id"], row["url"], row["payload"], digest, row["refers_to"], segment_bytes)
+                    refers = None if row["refers_to"] is None else record_id(row["refers_to"], 1, row["refers_copy"])
+                    out += page_records(row["page_id"], row["url"], row["payload"], digest, refers, segment_bytes, row["copy"])
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     (
@@ -247,7 +260,8 @@ def reassembled(records: DataFrame) -> DataFrame:
         .when(total.isNull(), F.lit("the last segment has no total length"))
         .when(total != length, F.lit("the total length is not that of the segments"))
     )
-    block = F.aggregate("parts", F.lit(b""), lambda s, p: F.concat(s, p["block"]))
+    # As hex text, since only text joins in one step; a concat a segment would copy the block each time.
+    block = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), ""))
     whole = sets.select(*[F.coalesce(c, "origin") if c == "record_id" else c for c in head], block.alias("block"), problem.alias("problem"))
     return single.unionByName(whole.toDF(*head, "block", "problem"))
 
