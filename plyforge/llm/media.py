@@ -105,4 +105,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "media")
     encode_texts(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path)
-    return decode_media(stored, tensors=False)
+    return decode_media(stored)
