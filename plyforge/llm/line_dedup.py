@@ -6,13 +6,14 @@ occurrences cover are merged, and those lines are removed. Of every line at leas
 earliest occurrence stays: each removed line lies in a later occurrence of a window, whose
 first occurrence has the same line strictly earlier.
 
-Only hashes and positions are shuffled, never text: the windows aggregate to their first
-occurrence before the shuffle, and only windows that repeat are joined back.
+Repeats are found from hashes and positions alone: the windows aggregate to their first
+occurrence before the shuffle, and only windows that repeat are joined back. The texts are
+shuffled once, as lines, to meet their covered positions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyforge.llm.common import staged, table
@@ -25,14 +26,21 @@ def _lines(text):
     return F.split(text, "\n", -1)
 
 
+def _key(text) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(text)
+
+
 def covered_positions(documents: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
-    """doc_id and covered, the sorted positions of the lines that later occurrences cover.
+    """doc_id, key (_key) and covered, the sorted positions of the lines that later occurrences cover.
 
     Only documents that lose lines have a row. Windows are equal when both of two 64-bit
-    hashes of their lines are.
+    hashes of their lines are. The first occurrence is that of the smallest (doc_id, key,
+    position), rows without doc_id first.
     """
     hashes = documents.where(F.col("text").isNotNull()).select(
         "doc_id",
+        _key(F.col("text")).alias("key"),
         F.transform(_lines(F.col("text")), lambda line: F.xxhash64(line)).alias("a"),
         F.transform(_lines(F.col("text")), lambda line: F.xxhash64(F.lit(_SEED), line)).alias("b"),
     )
@@ -41,6 +49,7 @@ def covered_positions(documents: DataFrame, window: int = WINDOW_LINES) -> DataF
         hashes.where(F.size("a") >= window)
         .select(
             "doc_id",
+            "key",
             F.posexplode(
                 F.transform(
                     at,
@@ -51,18 +60,18 @@ def covered_positions(documents: DataFrame, window: int = WINDOW_LINES) -> DataF
                 )
             ).alias("pos", "h"),
         )
-        .select("doc_id", "pos", "h.a", "h.b")
+        .select("doc_id", "key", "pos", "h.a", "h.b")
     )
     windows = staged(windows, "windows")
     repeated = (
         windows.groupBy("a", "b")
-        .agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
-    later = windows.join(repeated, ["a", "b"]).where(F.struct("doc_id", "pos") != F.col("first"))
+    later = windows.join(repeated, ["a", "b"]).where(~F.struct("doc_id", "key", "pos").eqNullSafe(F.col("first")))
     return (
-        later.select("doc_id", F.explode(F.sequence("pos", F.col("pos") + window - 1)).alias("line"))
-        .groupBy("doc_id")
+        later.select("doc_id", "key", F.explode(F.sequence("pos", F.col("pos") + window - 1)).alias("line"))
+        .groupBy("doc_id", "key")
         .agg(F.sort_array(F.collect_set("line")).alias("covered"))
     )
 
@@ -72,15 +81,16 @@ def remove_repeated_lines(documents: DataFrame, window: int = WINDOW_LINES) -> D
 
     A null text stays null with 0 lines; an empty text is one empty line. A text all of whose
     lines are covered becomes empty. Texts of fewer lines than a window stay as they are.
-    doc_id must be unique; of equal windows the one with the smallest (doc_id, position)
-    stays. Columns of the input named covered, n_lines or n_removed are replaced.
+    Of equal windows the one with the smallest (doc_id, position) stays; rows that share a
+    doc_id are told apart by a hash of their texts, and rows equal in both are one document:
+    they lose the same lines. Columns of the input named covered, n_lines or n_removed are replaced.
     """
     own = [c for c in documents.columns if c not in ("covered", "n_lines", "n_removed")]
     covered = covered_positions(documents.select("doc_id", "text"), window)
-    covered = covered.select(F.col("doc_id").alias("_doc"), "covered")
+    covered = covered.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "covered")
     # The lines travel instead of the text: computed below the join, they are split once a row.
-    rows = documents.select(*[c for c in own if c != "text"], _lines(F.col("text")).alias("_lines"))
-    joined = rows.join(covered, F.col("doc_id") == F.col("_doc"), "left")
+    rows = documents.select(*[c for c in own if c != "text"], _lines(F.col("text")).alias("_lines"), _key(F.col("text")).alias("_own"))
+    joined = rows.join(covered, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "covered")
     text = F.when(F.col("covered").isNull(), F.array_join("_lines", "\n")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
