@@ -323,6 +323,12 @@ def test_lines_match_brute_force(spark):
 # ---------------------------------------------------------------- sharding
 
 
+def test_lines_of_rows_that_share_an_identifier(spark):
+    rows = [(4, "a\nb\nc"), (4, "x\na\nb\nc"), (None, "a\nb\nc\nd"), (5, "p\nq\nr"), (5, "p\nq\nr"), (6, None)]
+    got = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in got) == [(0, 4, 0), (4, 3, 3), (4, 4, 3), (5, 3, 0), (5, 3, 0), (6, 0, 0)]
+
+
 def test_sharding_matches_brute_force(spark):
     frame = docs(spark, [f"t{i % 7}" for i in range(900)] + ODD, CLASHES)
     rows = sharding.shuffle_into_shards(frame, shards=5).collect()
@@ -468,6 +474,19 @@ def test_incomplete_sets_are_named(spark, tmp_path):
     assert "not that" in problem(records.withColumn("total", F.col("total") + 1))
 
 
+def test_pages_without_identifier_or_that_repeat(spark, tmp_path):
+    rows = [(None, None, "a" * 40_000), (None, "u", "b"), (7, "u", "c" * 40_000), (7, "u", "c" * 40_000), (7, "v", "b"), (8, "w", "c" * 40_000), (9, "w", "b")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(frame, str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert len(got) == len({r.record_id for r in got}) == 7 and all(r.problem is None for r in got)
+    by_id = {r.record_id: r for r in got}
+    kinds = sorted((r.page_id or 0, r.type, by_id[r.refers_to].page_id if r.refers_to else 0) for r in got)
+    assert kinds == [(0, "response", 0), (0, "response", 0), (7, "revisit", 8), (7, "revisit", 8), (7, "revisit", 9), (8, "response", 0), (9, "response", 0)]
+    assert sorted(len(r.payload) for r in got if r.type == "response") == [1, 1, 40_000, 40_000]
+    warc.write_archives(frame.limit(0), str(tmp_path / "e"))
+
+
 # ---------------------------------------------------------------- exact duplicates
 
 
@@ -492,7 +511,24 @@ def test_runs_merge_over_time(spark):
     index = exact_dedup.DigestIndex(spark)
     for ids in ((5, 7), (3, 9)):
         index.flush(spark.createDataFrame([(bytearray(b"d"), i) for i in ids], "digest binary, id long"))
-    assert [(r.keep_id, r.n) for r in index.compact().collect()] == [(3, 4)] and len(index.runs) == 1
+    batch = spark.createDataFrame([(bytearray(b"d"), 1), (bytearray(b"x"), 2)], "digest binary, doc_id long")
+    for _ in range(2):
+        assert [(r.doc_id, r.keep_id, r.n) for r in index.lookup(batch).collect()] == [(1, 3, 4)]
+        assert [(r.keep_id, r.n) for r in index.compact().collect()] == [(3, 4)] and len(index.runs) == 1
+
+
+@pytest.mark.parametrize("sent", [exact_dedup.BROADCAST_BYTES, 0])
+def test_filters_leave_out_what_no_other_run_holds(spark, monkeypatch, sent):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", sent)
+    index, shuffled = exact_dedup.DigestIndex(spark, "max"), []
+    for start in (0, 900):
+        frame = spark.range(start, start + 1000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id")
+        index.flush(frame, 1)
+    merged = index._merged
+    monkeypatch.setattr(index, "_merged", lambda e: shuffled.append(e.count()) or merged(e))
+    got = {bytes(r.digest): (r.keep_id, r.n) for r in index.compact().collect()}
+    want = {hashlib.sha256(str(i).encode()).digest(): (i, 2 if 900 <= i < 1000 else 1) for i in range(1900)}
+    assert got == want and (shuffled == [2000] if not sent else 200 <= shuffled[0] < 700)
 
 
 # ---------------------------------------------------------------- media
