@@ -75,12 +75,7 @@ class DigestIndex:
     def _written(self, entries: DataFrame) -> Run:
         """entries (memtable, digest, keep_id, n) as a sorted run with its filters."""
         path = fresh_path(self.spark, "run")
-        (
-            entries.sortWithinPartitions("memtable", "digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .partitionBy("memtable")
-            .parquet(path)
-        )
+        entries.sortWithinPartitions("memtable", "digest").write.partitionBy("memtable").parquet(path)
         kept = self.spark.read.schema(_ENTRY + ", memtable int").parquet(path)
         words = max(1, kept.count() // FILTER_ENTRIES)
         bits = kept.groupBy("memtable", _word(F.col("digest"), words).alias("word")).agg(F.bit_or(_mask(F.col("digest"))).alias("bits"))

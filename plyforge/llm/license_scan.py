@@ -122,24 +122,30 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1))))
 
 
-def _best(bigrams: Column, templates, dice: float) -> Column:
-    """The largest coefficient, and minus the place of the first template that has it."""
+def _hashes(pairs: list[tuple[str, str]]) -> Column:
+    """The bigrams as _bigrams has them, parsed in one call; words hold letters alone."""
+    return F.expr("array(" + ", ".join(f"xxhash64('{a}', '{b}')" for a, b in pairs) + ")")
+
+
+def _known(bigrams: Column, templates) -> Column:
+    """How many of the bigrams stand in some template."""
+    return F.size(F.array_intersect(bigrams, _hashes(sorted({pair for _, wording in templates for pair in template_bigrams(wording)}))))
+
+
+def _best(bigrams: Column, known: Column, templates, dice: float) -> Column:
+    """The largest coefficient, and minus the place of the first template that has it; null if none can reach dice.
+
+    With common <= known, a coefficient of dice needs known >= a * dice / (2 - dice) of the a bigrams.
+    """
     scored = []
     for k, (_, wording) in enumerate(templates):
         own = template_bigrams(wording)
         n = len(own)
         fits = F.size(bigrams).between(-int(-(n * dice / (2 - dice)) // 1), int(n * (2 - dice) / dice))
-        common = F.size(F.array_intersect(bigrams, F.array(*[F.xxhash64(F.lit(a), F.lit(b)) for a, b in own])))
+        common = F.size(F.array_intersect(bigrams, _hashes(own)))
         score = F.when(fits, common * F.lit(2.0) / (F.size(bigrams) + n)).otherwise(F.lit(0.0))
         scored.append(F.struct(score.alias("dice"), F.lit(-k).alias("order")))
-    return F.array_max(F.array(*scored))
-
-
-def _near(bigrams: Column, templates) -> Column:
-    """Whether at least half the bigrams stand in some template; true of none."""
-    known = sorted({pair for _, wording in templates for pair in template_bigrams(wording)})
-    hashes = F.array(*[F.xxhash64(F.lit(a), F.lit(b)) for a, b in known])
-    return 2 * F.size(F.array_intersect(bigrams, hashes)) >= F.size(bigrams)
+    return F.when(known * (2 - dice) + 1e-9 >= F.size(bigrams) * dice, F.array_max(F.array(*scored)))
 
 
 def _runs(near: Column) -> Column:
@@ -150,6 +156,12 @@ def _runs(near: Column) -> Column:
     return F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last"))), lambda r: r["first"] < r["last"])
 
 
+def _joined(lines: Column) -> Column:
+    """The distinct bigrams of lines read as one text, from their own and those over line ends."""
+    over = F.transform(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x, i: F.xxhash64(x["last"], F.get(lines, i + 1)["first"]))
+    return F.array_distinct(F.concat(F.flatten(F.transform(lines, lambda x: x["bigrams"])), over))
+
+
 def scan_licenses(documents: DataFrame, templates=TEMPLATES, dice: float = DICE) -> DataFrame:
     """The documents, all their columns, with n_license_lines, license, license_line and license_dice.
 
@@ -160,36 +172,40 @@ def scan_licenses(documents: DataFrame, templates=TEMPLATES, dice: float = DICE)
     lines and nulls.
     """
     names = F.array(*[F.lit(name) for name, _ in templates])
-    added = ("_words", "_lines", "_parts", "_whole", "_hits", "_top", "n_license_lines", "license", "license_line", "license_dice")
+    added = ("_words", "_lines", "_near", "_parts", "_several", "_whole", "_top", "n_license_lines", "license", "license_line", "license_dice")
     own = [c for c in documents.columns if c not in added]
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(i.alias("line"), _words(line).alias("words")))
     # The inner transforms make what several expressions share once for a line.
     made = F.transform(
         F.filter("_words", lambda x: F.size(x["words"]) > 0),
-        lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), _bigrams(x["words"]).alias("bigrams")),
+        lambda x: F.struct(
+            x["line"].alias("line"), F.get(x["words"], F.lit(0)).alias("first"), F.element_at(x["words"], -1).alias("last"), _bigrams(x["words"]).alias("bigrams")
+        ),
     )
+    told = F.transform(made, lambda x: F.struct(*[x[c].alias(c) for c in ("line", "first", "last", "bigrams")], _known(x["bigrams"], templates).alias("known")))
     scored = F.transform(
-        made,
+        told,
         lambda x: F.struct(
-            x["line"].alias("line"), x["words"].alias("words"), _near(x["bigrams"], templates).alias("near"), _best(x["bigrams"], templates, dice).alias("best")
+            *[x[c].alias(c) for c in ("line", "first", "last", "bigrams")],
+            (2 * x["known"] >= F.size(x["bigrams"])).alias("near"),
+            _best(x["bigrams"], x["known"], templates, dice).alias("best"),
         ),
     )
     lines = documents.select(*own, words.alias("_words")).select(*own, (F.size("_words") > 1).alias("_several"), scored.alias("_lines"))
+    lines = lines.withColumn("_near", F.transform("_lines", lambda x: x["near"]))
 
-    def unit(line: Column, words: Column) -> Column:
-        return F.element_at(F.transform(F.array(_bigrams(words)), lambda b: F.struct(line.alias("line"), _best(b, templates, dice).alias("best"))), 1)
+    def unit(line: Column, lines: Column) -> Column:
+        # The transforms bind lines and bigrams, which would else be made again for every element.
+        bigrams = F.transform(F.transform(F.array(lines), _joined), lambda b: F.struct(b.alias("bigrams"), _known(b, templates).alias("known")))
+        return F.element_at(F.transform(bigrams, lambda b: F.struct(line.alias("line"), _best(b["bigrams"], b["known"], templates, dice).alias("best"))), 1)
 
-    near = F.transform("_lines", lambda x: x["near"])
-    some = F.exists("_lines", lambda x: x["near"] & (F.size(x["words"]) > 1))
+    some = F.exists("_lines", lambda x: x["near"] & (F.size(x["bigrams"]) > 0))
     parts = F.transform(
-        F.when(some, _runs(near)).otherwise(F.array().cast("array<struct<first:int,last:int>>")),
-        lambda r: unit(
-            F.get("_lines", r["first"])["line"],
-            F.flatten(F.transform(F.slice("_lines", r["first"] + 1, r["last"] - r["first"] + 1), lambda x: x["words"])),
-        ),
+        F.when(some, _runs(F.col("_near"))).otherwise(F.array().cast("array<struct<first:int,last:int>>")),
+        lambda r: unit(F.get("_lines", r["first"])["line"], F.slice("_lines", r["first"] + 1, r["last"] - r["first"] + 1)),
     )
-    whole = F.when(F.col("_several"), unit(F.lit(-1), F.flatten(F.transform("_lines", lambda x: x["words"]))))
+    whole = F.when(F.col("_several"), unit(F.lit(-1), F.col("_lines")))
     matched = lines.select(*own, "_lines", parts.alias("_parts"), whole.alias("_whole"))
 
     def hits(units: Column) -> Column:
