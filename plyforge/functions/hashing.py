@@ -139,3 +139,17 @@ def sample_id(sfen: Column, path: Column, ply: Column, profile: str = RECORD) ->
             yield pd.Series(values, index=states.index[known], dtype=object).reindex(states.index)
 
     return hashed(sfen, path, ply)
+
+
+def _options(options: list[tuple[str, str]]) -> bytes:
+    return blake3([framed(*[part.encode() for pair in sorted(options) for part in pair])])[0]
+
+
+def engine_options_hash(options: list[tuple[str, str]]) -> int:
+    """A number for an engine's options that does not depend on their order."""
+    return int.from_bytes(_options(options)[:8], "little")
+
+
+def engine_options_hash_hex(options: list[tuple[str, str]]) -> str:
+    """The whole digest that engine_options_hash takes its number from."""
+    return _options(options).hex()

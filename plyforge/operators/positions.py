@@ -23,8 +23,30 @@ def filter_quality(records: DataFrame, config: QualityConfig) -> DataFrame:
     return with_reasons(records, config).where(F.size("reasons") == 0).drop("reasons", "_deepest", "_by_engine")
 
 
+def with_quality(records: DataFrame, config: QualityConfig) -> DataFrame:
+    """The records with keep, score, reasons, score_swing_cp, bestmove_agreement, cp_count and mate_count.
+
+    score is the share of configured gates that hold, in single precision; 1 without gates.
+    """
+    gates, o = len(P.quality_gates(config)), F.col(P.OBS)
+    failed = (F.size("reasons") / F.lit(max(gates, 1))).cast("float")
+    return with_reasons(records, config).withColumns(
+        {
+            "keep": F.size("reasons") == 0,
+            "score": F.lit(1.0).cast("float") - failed,
+            "score_swing_cp": P.swing(P.cps(o)),
+            "bestmove_agreement": P.moves_agree(o),
+            "cp_count": F.size(P.cps(o)),
+            "mate_count": F.size(F.filter(o, lambda x: x["kind"] == "mate")),
+        }
+    )
+
+
 def with_stability(records: DataFrame) -> DataFrame:
-    return prepared(records).withColumns(P.stability())
+    """The records with the four stability fields; fields that are there stay where there are no observations."""
+    fields, labelled = P.stability(), F.size(P.OBS) > 0
+    kept = {name: F.when(labelled, made).otherwise(F.col(name)) if name in records.columns else made for name, made in fields.items()}
+    return prepared(records).withColumns(kept)
 
 
 def with_bucket(records: DataFrame, dimensions: tuple[str, ...] = ("phase", "side", "eval", "wdl")) -> DataFrame:
@@ -43,11 +65,11 @@ def first_by_state(records: DataFrame) -> DataFrame:
 def balance(records: DataFrame, dimensions: tuple[str, ...], target: int | None = None) -> DataFrame:
     """Per bucket the target records smallest by (sfen, idx); by default as many as the smallest bucket has."""
     bucketed = with_bucket(records, dimensions)
+    if target is None:
+        # One number, known before the ranking, so that every task drops what is past it before the shuffle.
+        target = bucketed.groupBy("bucket_key").count().agg(F.min("count")).first()[0] or 0
     ranked = bucketed.withColumn("_nth", F.row_number().over(Window.partitionBy("bucket_key").orderBy("sfen", "idx")))
-    if target is not None:
-        return ranked.where(F.col("_nth") <= target)
-    least = bucketed.groupBy("bucket_key").count().agg(F.min("count").alias("_target"))
-    return ranked.crossJoin(F.broadcast(least)).where(F.col("_nth") <= F.col("_target"))  # one row
+    return ranked.where(F.col("_nth") <= F.lit(target))
 
 
 def near_jumps(records: DataFrame, threshold: int, window: int) -> DataFrame:
@@ -57,10 +79,11 @@ def near_jumps(records: DataFrame, threshold: int, window: int) -> DataFrame:
     have a value; records up to window places from it are near.
     """
     game = Window.partitionBy("path").orderBy("ply", "idx")
-    e = prepared(records).withColumn("_eval", P.eval_black())
+    # What is read after the shuffle is made before it: the observations themselves stay behind unless asked for.
+    e = prepared(records).withColumns({"_eval": P.eval_black(), "_labelled": F.size(P.OBS) > 0})
     e = e.withColumn("_jump", F.coalesce(F.abs(F.col("_eval") - F.lag("_eval").over(game)) >= threshold, F.lit(False)))
-    near = F.max("_jump").over(game.rowsBetween(-window, window)) & (F.size(P.OBS) > 0)
-    return e.withColumn("_near", near)
+    near = F.max("_jump").over(game.rowsBetween(-window, window)) & F.col("_labelled")
+    return e.withColumn("_near", near).drop("_labelled")
 
 
 def mine(records: DataFrame, threshold: int, window: int, losing: int | None = None) -> DataFrame:
@@ -96,14 +119,45 @@ def calibrate(records: DataFrame, config: QualityConfig, margins: list[int], swi
     return row.select("total", F.inline("cells"))
 
 
+def sweep(records: DataFrame, config: QualityConfig, margins: list[int] = (), swings: list[int] = ()) -> DataFrame:
+    """A row for each swept value, margins first: sweep_param, sweep_value, total, kept, dropped, coverage_pct, drop_reasons.
+
+    Each value replaces its gate's alone in config. A record counts for its first failing
+    gate; drop_reasons lists "gate=count" by name. position orders the rows. The records are
+    read once: the cells' tallies are sums within it.
+    """
+    if not margins and not swings:
+        raise ValueError("nothing to sweep")
+    cells = [("policy_margin", "min_policy_margin_cp", v) for v in margins] + [("score_swing", "max_score_swing_cp", v) for v in swings]
+    firsts = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(param).alias("sweep_param"),
+            F.lit(v).alias("sweep_value"),
+            F.get(P.failing_reasons(QualityConfig(**{**config.__dict__, field: v})), F.lit(0)).alias("reason"),
+        )
+        for i, (param, field, v) in enumerate(cells)
+    ]
+    counts = prepared(records).select(F.inline(F.array(*firsts))).groupBy("position", "sweep_param", "sweep_value", "reason").agg(F.count(F.lit(1)).alias("n"))
+    kept, total = F.sum(F.when(F.col("reason").isNull(), F.col("n")).otherwise(0)), F.sum("n")
+    named = F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.concat("reason", F.lit("="), F.col("n").cast("string")))))
+    return counts.groupBy("position", "sweep_param", "sweep_value").agg(
+        total.alias("total"), kept.alias("kept"), (total - kept).alias("dropped"),
+        F.format_string("%.2f", kept / total * 100).alias("coverage_pct"), F.array_join(named, ";").alias("drop_reasons"),
+    )
+
+
 def _at_depth(engine: Column, depth: int) -> Column:
     """An engine's observation of a requested depth, else of a reached one; the first of several."""
     asked = F.get(F.filter(P.OBS, lambda o: (o["engine"] == engine) & (o["requested_depth"] == depth)), F.lit(0))
     return F.coalesce(asked, F.get(F.filter(P.OBS, lambda o: (o["engine"] == engine) & (o["depth"] == depth)), F.lit(0)))
 
 
+AUDIT_FLAGS = tuple(f"{whose}_{what}" for whose in ("teacher", "student") for what in ("non_exact", "underreach", "special"))
+
+
 def audit_pairs_of(teacher: int, students: list[int]) -> Column:
-    """A record's array of (student_depth, mismatch, error): teacher against student observations of each engine.
+    """A record's array of (student_depth, mismatch, error) and what is special about either side: teacher against student observations of each engine.
 
     The best moves match unless both are ordinary and differ. error is null unless both values
     are centipawns. The teacher's own depth is never a student's.
@@ -116,12 +170,22 @@ def audit_pairs_of(teacher: int, students: list[int]) -> Column:
             F.lit(depth).alias("student_depth"),
             (ordinary & (t["bestmove"] != s["bestmove"])).alias("mismatch"),
             F.when(both, F.abs(t["cp"] - s["cp"])).alias("error"),
+            *[
+                test(side).alias(f"{whose}_{what}")
+                for whose, side in (("teacher", t), ("student", s))
+                for what, test in (
+                    ("non_exact", lambda o: o["bound"] != "exact"),
+                    ("underreach", P.underreached),
+                    ("special", lambda o: P.bestmove_kind(o["bestmove"]).isNotNull()),
+                )
+            ],
         )
         return F.when(t.isNotNull() & s.isNotNull(), made)
 
     depths = [d for d in students if d != teacher]
     if not depths:
-        return F.array().cast("array<struct<student_depth:int,mismatch:boolean,error:int>>")
+        flags = ",".join(f"{name}:boolean" for name in AUDIT_FLAGS)
+        return F.array().cast(f"array<struct<student_depth:int,mismatch:boolean,error:int,{flags}>>")
     engines = F.array_distinct(F.transform(P.OBS, lambda o: o["engine"]))
     # A struct of each engine's observations at the wanted depths, so that every lookup is made once.
     found = F.transform(
@@ -133,19 +197,28 @@ def audit_pairs_of(teacher: int, students: list[int]) -> Column:
 
 
 def audit_pairs(records: DataFrame, teacher: int, students: list[int]) -> DataFrame:
-    """idx, student_depth, mismatch and error of every pair (audit_pairs_of)."""
+    """idx, student_depth, mismatch and error of every pair (audit_pairs_of), and the flags of either side."""
     return records.select("idx", F.inline(audit_pairs_of(teacher, students)))
 
 
-def audit(records: DataFrame, teacher: int, students: list[int]) -> DataFrame:
-    """Pairs, mismatches and errors of audit_pairs per student depth."""
-    return audit_pairs(records, teacher, students).groupBy("student_depth").agg(
+def _audit() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("pairs"),
         F.count_if("mismatch").alias("mismatches"),
         F.count("error").alias("compared"),
         F.sum(F.col("error").cast("long")).alias("error_sum"),
         F.max("error").alias("error_max"),
-    )
+    ]
+
+
+def audit_stats(records: DataFrame, teacher: int, students: list[int]) -> DataFrame:
+    """audit's tallies per student depth with the sides' flags counted, and a row of null depth over all pairs."""
+    return audit_pairs(records, teacher, students).rollup("student_depth").agg(*_audit(), *[F.count_if(flag).alias(flag) for flag in AUDIT_FLAGS])
+
+
+def audit(records: DataFrame, teacher: int, students: list[int]) -> DataFrame:
+    """Pairs, mismatches and errors of audit_pairs per student depth."""
+    return audit_pairs(records, teacher, students).groupBy("student_depth").agg(*_audit())
 
 
 def ply_histogram(records: DataFrame, step: int) -> DataFrame:

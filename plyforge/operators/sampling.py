@@ -24,6 +24,10 @@ UNCERTAIN = QualityConfig(
 )
 
 
+#: Buckets whose counts are sent to every task; more are joined by a shuffle.
+MAX_BUCKETS = 100_000
+
+
 def reservoir(records: DataFrame, count: int, seed: int, profile: str = RECORD) -> DataFrame:
     """The count records smallest by (hash of the state, idx)."""
     hashed = records.withColumn("_h", seeded_hash(seed, F.col("sfen"), profile))
@@ -51,7 +55,8 @@ def select_coverage(records: DataFrame, count: int, seed: int, profile: str = RE
     """
     bucketed = with_bucket(records, ("phase", "side", "eval"))
     sizes = bucketed.groupBy("bucket_key").agg(F.count(F.lit(1)).alias("bucket_size"))
-    return _ranked(bucketed.join(sizes, "bucket_key"), count, seed, profile, F.col("bucket_size").asc())
+    few = sizes.limit(MAX_BUCKETS + 1).count() <= MAX_BUCKETS
+    return _ranked(bucketed.join(F.broadcast(sizes) if few else sizes, "bucket_key"), count, seed, profile, F.col("bucket_size").asc())
 
 
 def select_hard(records: DataFrame, count: int, seed: int, threshold: int, window: int, profile: str = RECORD) -> DataFrame:
@@ -143,11 +148,13 @@ def opening_key(sfen: Column) -> Column:
 
 
 def gate_openings(
-    records: DataFrame, count: int, seed: int, min_ply: int | None, max_ply: int | None, valid: Column | None = None, profile: str = RECORD
+    records: DataFrame, count: int, seed: int, min_ply: int | None, max_ply: int | None, valid: Column | None = None, profile: str = RECORD,
+    playable: Column | None = None,
 ) -> DataFrame:
     """All records with drop_reason: null where one is an opening for match play.
 
-    Records fall by invalid_sfen, below_min_ply, above_max_ply, duplicate_sfen (the first of a
+    Records fall by invalid_sfen, below_min_ply, above_max_ply, unplayable (with playable, where it
+    is not true: the side to move has no legal move, or none can be told), duplicate_sfen (the first of a
     state stays) and over_count, in this order. count are kept over all groups, round by round.
     """
     tests = [(~valid, "invalid_sfen")] if valid is not None else []
@@ -155,6 +162,10 @@ def gate_openings(
         tests.append((F.col("ply") < min_ply, "below_min_ply"))
     if max_ply is not None:
         tests.append((F.col("ply") > max_ply, "above_max_ply"))
+    if playable is not None:
+        # Asked only of records that are left: a legal move is by far the dearest test.
+        left = reduce(lambda a, b: a & ~F.coalesce(b[0], F.lit(False)), tests, F.lit(True))
+        tests.append((left & ~F.coalesce(F.when(left, playable), F.lit(False)), "unplayable"))
     reason = reduce(lambda found, t: F.coalesce(found, F.when(t[0], t[1])), tests, F.lit(None).cast("string"))
     judged = records.withColumn("_reason", reason).withColumn("_state", opening_key(F.col("sfen")))
     eligible = judged.where("_reason is null")

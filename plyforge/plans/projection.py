@@ -6,11 +6,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions.positions import group_of, phase_of
+from plyforge.session import shared_path
 
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the tables below sf_dir, from a table of records that the first query of an application stores.
+
+    Queries then scan the columns they need instead of gathering every order's lines again.
+    Without a folder that executors share the projection is computed each time.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path, made = shared_path(spark, "records"), projected(spark, sf_dir)
+        if path is None:
+            return made
+        made.write.parquet(path)
+        _stored[key] = path
+    return spark.read.schema(projected(spark, sf_dir).schema).parquet(_stored[key])
+
+
+def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as positions, each with its lines as observations, in the order of l_linenumber."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     mate = F.round(F.col("l_discount") * 100).cast("int") == 10
     observation = F.struct(

@@ -29,7 +29,7 @@ CONFIG = QualityConfig(
     min_policy_margin_cp=50,
     require_exact_score=True,
     require_policy_margin=True,
-    min_depth_reached=2,
+    min_depth_reached=4,
     require_requested_depth_reached=True,
     require_bestmove_agreement=True,
     require_engine_agreement=True,
@@ -50,7 +50,7 @@ _GATES = (
     ("policy_margin", "min_margin < 50"),
     ("non_exact_score", "non_exact"),
     ("missing_policy_margin", "margins = 0"),
-    ("low_actual_depth", "min_depth < 2"),
+    ("low_actual_depth", "min_depth < 4"),
     ("requested_depth_not_reached", "short"),
     ("bestmove_disagreement", "n >= 2 AND NOT agree"),
     ("engine_disagreement", "engines >= 2 AND NOT engine_agree"),

@@ -231,7 +231,7 @@ def tune_frontier(r: DataFrame) -> DataFrame:
 
 @_register("audit_pairs", _PAIRS + " SELECT idx, student_depth, mismatch, error FROM pair")
 def audit_pairs(r: DataFrame) -> DataFrame:
-    return O.audit_pairs(r, 12, [4, 6, 8])
+    return O.audit_pairs(r, 12, [4, 6, 8]).select("idx", "student_depth", "mismatch", "error")
 
 
 @_register(

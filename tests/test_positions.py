@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions.positions import QualityConfig
 from plyforge.operators import positions as O
-from plyforge.plans import registry, selection  # noqa: F401  (selection registers its queries)
+from plyforge.plans import formats, registry, selection  # noqa: F401  (all three register queries)
 
 SF = "/root/testdata/sf0.001"
 OBSERVATION = "struct<engine:string,depth:int,requested_depth:int,kind:string,cp:int,bestmove:string,margin:int,bound:string,salvaged:boolean>"
