@@ -4,31 +4,34 @@ import pytest
 from pyspark.sql import functions as F
 
 from plyforge.functions import board as B
+from plyforge.plans.formats import CSA, KIF, MATCH, USI
 from plyforge.sources import games as G
 
-CSA = "V2.2\nN+a\nN-b\nPI\n+\n+7776FU\nT3\n-3334FU,T5\n'note\n+8822UM\n-3122GI\n+0045KA\n%TORYO\n"
 HEAD = "手合割：平手\n手数----指手----消費時間--\n"
-LINES = ["1 ７六歩(77)   ( 0:01/)", "2 ３四歩(33)", "3 ２二角成(88)", "4 同　銀(31)", "5 ４五角打"]
-KIF = HEAD + "\n".join(LINES) + "\n6 投了\nまで5手で先手の勝ち\n"
 
 
 def test_formats_agree():
-    csa, kif = G.walk_csa(CSA, "a"), G.walk_kif(KIF, "b")
-    log = G.walk_match("# Engine1: x (Black)\n# Result: Engine1 Win\nposition startpos moves 7g7f 3c3d 8h2b+ 3a2b B*4e", "c")
+    csa, kif, log = G.walk_csa(CSA, "a"), G.walk_kif(KIF, "b"), G.walk_match(MATCH, "c")
     for game in (csa, kif, log):
-        assert [s["usi"] for s in game.steps] == ["7g7f", "3c3d", "8h2b+", "3a2b", "B*4e"]
-        assert [s["has_capture"] for s in game.steps] == [False, False, True, True, False]
-        assert game.outcome == "black_wins"
+        assert [s["usi"] for s in game.steps] == USI.split()
+        assert [s["ply"] for s in game.steps if s["has_capture"]] == [10, 11]
+        assert game.outcome == "white_wins"
         assert [s["sfen"] for s in game.steps] == [s["sfen"] for s in csa.steps]
-    assert csa.steps[-1]["sfen"] == "lnsgkg1nl/1r5s1/pppppp1pp/6p2/5B3/2P6/PP1PPPPPP/7R1/LNSGKGSNL w b 6"
+    assert csa.steps[-1]["sfen"] == "lnsgk2nl/1r4g2/p1ppppspp/6p2/1p2B2P1/2P6/PPSPPPP1P/7R1/LN1GKGSNL b b 15"
     assert (csa.reason, kif.reason, log.reason) == ("csa_terminal", "kif_marker", "match_header")
 
 
+def test_promotion_refused_and_recapture():
+    text = HEAD + "1 ７六歩(77)\n2 ３四歩(33)\n3 ２二角(88)\n4 同　飛(82)\n5 中断\n"
+    game = G.walk_kif(text, "f")
+    assert [s["usi"] for s in game.steps] == ["7g7f", "3c3d", "8h2b", "8b2b"] and game.outcome == "unknown"
+
+
 @pytest.mark.parametrize(
     ("ending", "outcome", "reason"),
     [
         ("%SENNICHITE", "draw", "csa_terminal"),
-        ("%KACHI", "white_wins", "csa_terminal"),
+        ("%KACHI", "black_wins", "csa_terminal"),
         ("%+ILLEGAL_ACTION", "white_wins", "csa_terminal"),
         ("%CHUDAN", "unknown", "csa_interrupted"),
         ("%MATTA", "unknown", "csa_terminal_undetermined"),
@@ -38,7 +41,7 @@ def test_formats_agree():
 )
 def test_csa_endings(ending, outcome, reason):
     game = G.walk_csa(CSA.replace("%TORYO", ending), "a")
-    assert (game.outcome, game.reason, len(game.steps)) == (outcome, reason, 5)
+    assert (game.outcome, game.reason, len(game.steps)) == (outcome, reason, 14)
 
 
 def test_csa_starts():
@@ -51,12 +54,13 @@ def test_csa_starts():
 
 
 def test_kif_variations_and_handicap():
-    text = KIF + "\n変化：2手\n2 ８四歩(83)\n3 ２六歩(27)\n変化：9手\n9 ８五歩(84)\n変化：1手\n1 ２六歩(27)\n"
+    text = KIF + "\n変化：2手\n2 ３四歩(33)\n3 ７六歩(77)\n変化：20手\n20 ８六歩(85)\n変化：1手\n1 ７六歩(77)\n"
     game = G.walk_kif(text, "f")
-    assert [(s["path"], s["ply"]) for s in game.steps[5:]] == [("f#var1@2", 2), ("f#var1@2", 3), ("f#var2@1", 1)]
-    assert [r["outcome"] for r in game.rows()] == ["black_wins"] * 5 + ["unknown"] * 3
-    rook = G.walk_kif("手合割：飛車落ち\n手数--\n1 ３四歩(33)\n2 ７六歩(77)\n3 投了\nまで2手で後手の勝ち\n", "f")
-    assert rook.outcome == "black_wins" and rook.steps[0]["mover"] == "white"
+    assert [(s["path"], s["ply"]) for s in game.steps[14:]] == [("f#var1@2", 2), ("f#var1@2", 3), ("f#var2@1", 1)]
+    assert [r["outcome"] for r in game.rows()] == ["white_wins"] * 14 + ["unknown"] * 3
+    bishop = "手合割：角落ち\n手数--\n1 ８四歩(83)\n2 ７六歩(77)\n3 ６二銀(71)\n4 投了\nまで3手で先手の勝ち\n変化：2手\n2 ２六歩(27)\n"
+    bishop = G.walk_kif(bishop, "f")
+    assert bishop.outcome == "white_wins" and [s["mover"] for s in bishop.steps] == ["white", "black", "white", "black"]
     with pytest.raises(G.GameError):
         G.walk_kif("手合割：三枚落ち\n", "f")
     assert G.walk_kif(HEAD + "1 千日手\n", "f").outcome == "draw"
@@ -129,10 +133,10 @@ def test_folder_of_games(spark, tmp_path):
     (tmp_path / "d.md").write_text("x")
     games = G.read_games(spark, str(tmp_path))
     assert games.where("error is not null").select("file").first().file.endswith("c.csa")
-    assert G.positions(games).count() == 10
+    assert G.positions(games).count() == 28
     first = G.positions(games, dedup="sfen").collect()
-    assert len(first) == 5 and {r.kind for r in first} == {"csa"}
-    assert G.positions(games, dedup="position").count() == 5
+    assert len(first) == 14 and {r.kind for r in first} == {"csa"}
+    assert G.positions(games, dedup="position").count() == 14
     assert sorted({r.ply for r in G.positions(games, 2, 4, 2).collect()}) == [2, 4]
-    assert G.moves(games).count() == 10
+    assert G.moves(games).count() == 28
     assert G.move_sequences(games).first().sequences == 2
