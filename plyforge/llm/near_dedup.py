@@ -11,9 +11,9 @@ the sort.
 
 Candidates are confirmed on the full sets. They come in three passes. The first takes each
 text's best neighbour in each of FIRST_ORDERS trees, which is enough to join most of a group at a cost that
-grows with the texts, not the pairs. The second takes every remaining candidate whose ends are
-still in different components. The third is for crowded regions that hold several components
-even then: it compares all their texts across components, whatever lies between them in the
+grows with the texts, not the pairs. The second takes, in thin regions, every remaining candidate
+whose ends are still in different components. The third is for crowded regions, of over WINDOW
+texts, that hold several components even then: it compares all their texts across components, whatever lies between them in the
 sort, block by block, so that WINDOW bounds no text's partners, and confirms them there.
 
 Rows with equal sets are linked through the smallest doc_id of their set before any of that.
@@ -39,8 +39,6 @@ COORDINATES = ORDERS * MIN_DEPTH
 #: Trees of the first pass, which joins most groups; the second pass has all trees.
 FIRST_ORDERS = 8
 WINDOW = 64
-#: Texts of a region that partitions of the sort may cut; smaller ones are whole in a task.
-CROWD = 1024
 #: Shingles of a crowded region's texts that a task holds, twice at most, or those of one text.
 BLOCK = 1 << 20
 #: One-bit minima that screen candidates, for the texts of the forest only.
@@ -136,13 +134,13 @@ def features(documents: DataFrame) -> DataFrame:
 def _forest(signed: DataFrame, documents: DataFrame) -> DataFrame:
     """Rows (tree, rotated, crowded, doc_id, n_shingles, sketch) of each tree, without regions of one text.
 
-    crowded: the text's region in the tree has over CROWD texts.
+    crowded: the text's region in the tree has over WINDOW texts.
     """
     trees = F.sequence(F.lit(0), F.lit(ORDERS - 1))
     heads = signed.select("doc_id", F.explode(trees).alias("tree"), "signature").select(
         "doc_id", "tree", F.xxhash64("tree", F.substring("signature", F.col("tree") * _HEAD + 1, F.lit(_HEAD))).alias("head")
     )
-    shared = heads.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head", (F.col("n") > CROWD).alias("crowded"))
+    shared = heads.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head", (F.col("n") > WINDOW).alias("crowded"))
     live = staged(heads.join(shared, "head").groupBy("doc_id").agg(F.collect_set(F.struct("tree", "crowded")).alias("trees")), "live")
     sketches = _of_sets(documents, live.select(F.col("doc_id").alias("_id")), "sketch", sketch)
     turned = F.concat(
@@ -360,7 +358,8 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
             "tree", "rotated", "crowded", "doc_id", "n_shingles", "sketch", component
         )
 
-    second = _neighbours(_sorted_trees(with_components()), False, percent).distinct().join(first, ["a", "b"], "left_anti")
+    # Every pair of a thin region is within WINDOW; crowded ones are the third pass's, which makes no rows of pairs.
+    second = _neighbours(_sorted_trees(with_components().where(~F.col("crowded"))), False, percent).distinct().join(first, ["a", "b"], "left_anti")
     second = staged(second, "pairs")
     if not second.isEmpty():
         links = links.unionByName(_confirmed(second, documents, percent))

@@ -220,10 +220,9 @@ def test_no_link_is_lost_over_many_partitions(spark):
     assert len(links) > 100
     conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in conf}
-    for crowd in (near_dedup.CROWD, 2):
+    for window in (near_dedup.WINDOW, 2):
         with pytest.MonkeyPatch.context() as patch:
-            patch.setattr(near_dedup, "CROWD", crowd)
-            patch.setattr(near_dedup, "WINDOW", min(crowd, near_dedup.WINDOW))
+            patch.setattr(near_dedup, "WINDOW", window)
             try:
                 for k, v in conf.items():
                     spark.conf.set(k, v)
