@@ -72,5 +72,5 @@ def test_games_become_records(spark, tmp_path):
     made = records.from_games(games.positions(games.read_games(spark, str(tmp_path / "in"))))
     records.write(made, str(tmp_path / "out"))
     back = records.scan(spark, str(tmp_path / "out"))
-    assert records.validate(back).first().valid_records == 5
-    assert records.flat(back).where(F.col("outcome") == "black_wins").count() == 5
+    assert records.validate(back).first().valid_records == 14
+    assert records.flat(back).where(F.col("outcome") == "white_wins").count() == 14
