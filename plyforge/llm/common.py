@@ -84,6 +84,15 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def merged_if_large(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df as it is if its counted rows fit BROADCAST_BYTES, else marked so that its join broadcasts neither side.
+
+    Spark estimates a table by the compressed size of its files and an exploded row as one, and
+    would gather many times spark.sql.autoBroadcastJoinThreshold in the driver.
+    """
+    return df if rows * row_bytes <= BROADCAST_BYTES else df.hint("merge")
+
+
 def running_offsets(counts: DataFrame, group: str, part: str, rows: str, block: int = 4096) -> DataFrame:
     """For counts with one row (group, part, rows): group, part, offset, the rows of the parts before it.
 

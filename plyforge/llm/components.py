@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyforge.llm.common import discard, staged
+from plyforge.llm.common import discard, merged_if_large, staged
 
 
 #: Edges that one task handles; small graphs don't pay for more tasks than they need.
 EDGES_PER_TASK = 100_000
+#: Bytes of an edge or a node in a broadcast table.
+EDGE_BYTES = 60
 
 
 def connected_components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -37,10 +39,10 @@ def connected_components(edges: DataFrame, name: str = "edges") -> DataFrame:
             stars.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).coalesce(tasks)
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
+        large = both.where("v > u").join(merged_if_large(least, 2 * state[0], EDGE_BYTES), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
         parent = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = (
-            large.join(parent, "u")
+            large.join(merged_if_large(parent, 2 * state[0], EDGE_BYTES), "u")
             .select(F.explode(F.array(F.struct("m", F.col("v").alias("b")), F.struct("m", F.col("u").alias("b")))).alias("e"))
             .select(F.col("e.m").alias("a"), F.col("e.b").alias("b"))
             .where("a != b")

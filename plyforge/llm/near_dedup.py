@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.llm.common import broadcast_if_small, discard, staged, table
-from plyforge.llm.components import connected_components
+from plyforge.llm.common import broadcast_if_small, discard, merged_if_large, staged, table
+from plyforge.llm.components import EDGE_BYTES, connected_components
 from plyforge.llm.shingles import mix, shingle_sets
 
 ORDERS = 24
@@ -48,6 +48,8 @@ SLACK = 5.0
 PERCENT = 75
 #: Texts whose sets a task holds at once.
 TEXTS = 128
+#: Bytes of a row in a broadcast table, of those that are counted before a join.
+ID_BYTES, PAIR_BYTES, HEAD_BYTES, CLASS_BYTES, LIVE_BYTES, ROW_BYTES = 100, 100, 50, 120, 1000, 500
 
 _COORD_BYTES = 2
 _SIGNATURE = COORDINATES * _COORD_BYTES
@@ -90,6 +92,12 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits((mix(least) & np.uint64(1)).astype(np.uint8)).tobytes()
 
 
+def _few_or_merged(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df for a join that broadcasts it if its rows are few, and nothing otherwise."""
+    rows = df.count()
+    return merged_if_large(broadcast_if_small(df, rows, row_bytes), rows, row_bytes)
+
+
 def _of_sets(documents: DataFrame, ids: DataFrame, name: str, value: Callable[[np.ndarray], bytes]) -> DataFrame:
     """doc_id and a value of the set of each document whose doc_id is among ids (_id)."""
 
@@ -100,9 +108,7 @@ def _of_sets(documents: DataFrame, ids: DataFrame, name: str, value: Callable[[n
                 found = [value(s) for s in shingle_sets(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", name])
 
-    chosen = documents.select("doc_id", "text").join(
-        broadcast_if_small(ids, ids.count(), 100), F.col("doc_id") == F.col("_id"), "left_semi"
-    )
+    chosen = documents.select("doc_id", "text").join(_few_or_merged(ids, ID_BYTES), F.col("doc_id") == F.col("_id"), "left_semi")
     return chosen.mapInArrow(made, f"doc_id long, {name} binary").dropDuplicates(["doc_id"])
 
 
@@ -141,13 +147,15 @@ def _forest(signed: DataFrame, documents: DataFrame) -> DataFrame:
         "doc_id", "tree", F.xxhash64("tree", F.substring("signature", F.col("tree") * _HEAD + 1, F.lit(_HEAD))).alias("head")
     )
     shared = heads.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head", (F.col("n") > WINDOW).alias("crowded"))
+    shared = merged_if_large(shared, ORDERS * signed.count(), HEAD_BYTES)
     live = staged(heads.join(shared, "head").groupBy("doc_id").agg(F.collect_set(F.struct("tree", "crowded")).alias("trees")), "live")
     sketches = _of_sets(documents, live.select(F.col("doc_id").alias("_id")), "sketch", sketch)
     turned = F.concat(
         F.substring("signature", F.col("tree") * _HEAD + 1, F.lit(_SIGNATURE)),
         F.substring("signature", F.lit(1), F.col("tree") * _HEAD),
     )
-    rows = signed.join(live, "doc_id").join(sketches, "doc_id")
+    texts = live.count()
+    rows = signed.join(merged_if_large(live, texts, LIVE_BYTES), "doc_id").join(merged_if_large(sketches, texts, ROW_BYTES), "doc_id")
     return rows.select("doc_id", "n_shingles", "signature", "sketch", F.inline("trees")).select(
         "tree", turned.alias("rotated"), "crowded", "doc_id", "n_shingles", "sketch"
     )
@@ -298,9 +306,7 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFram
     """Those of the pairs whose full sets have 100 * intersection >= percent * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     ids = staged(ids, "ids")
-    texts = documents.select("doc_id", "text").join(
-        broadcast_if_small(ids, ids.count(), 100), F.col("doc_id") == F.col("_id"), "left_semi"
-    )
+    texts = documents.select("doc_id", "text").join(_few_or_merged(ids, ID_BYTES), F.col("doc_id") == F.col("_id"), "left_semi")
     texts = staged(texts.dropDuplicates(["doc_id"]), "texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -321,7 +327,8 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFram
                     keep.append(bool(common) and 100 * common >= percent * (len(x) + len(y) - common))
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    # Texts are of any size, so the second join broadcasts none.
+    both = _few_or_merged(pairs, PAIR_BYTES).join(left, "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     links = staged(both.mapInArrow(checked, "a long, b long"), "links")
     for done in (ids, texts):
         discard(documents.sparkSession, done)
@@ -342,14 +349,19 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Equal sets have equal signatures: any one of them stands for all.
     alone = linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
     alone = staged(alone, "classes")
-    classes = alone.select("set_key", "rep")
+    classes = merged_if_large(alone.select("set_key", "rep"), alone.count(), CLASS_BYTES)
     alone = alone.select(F.col("rep").alias("doc_id"), "n_shingles", "signature")
 
     forest = staged(_forest(alone, documents), "forest")
     first = _neighbours(_sorted_trees(forest.where(F.col("tree") < FIRST_ORDERS).withColumn("component", F.col("doc_id"))), True, percent)
     first = staged(first.distinct(), "pairs")
     links = _confirmed(first, documents, percent)
-    found = connected_components(links)
+
+    def joined(links: DataFrame) -> DataFrame:
+        nodes = connected_components(links)
+        return merged_if_large(nodes, nodes.count(), EDGE_BYTES)
+
+    found = joined(links)
 
     component = F.coalesce("component", "doc_id").alias("component")
 
@@ -359,23 +371,26 @@ def near_groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         )
 
     # Every pair of a thin region is within WINDOW; crowded ones are the third pass's, which makes no rows of pairs.
-    second = _neighbours(_sorted_trees(with_components().where(~F.col("crowded"))), False, percent).distinct().join(first, ["a", "b"], "left_anti")
+    second = _neighbours(_sorted_trees(with_components().where(~F.col("crowded"))), False, percent).distinct().join(
+        merged_if_large(first, first.count(), PAIR_BYTES), ["a", "b"], "left_anti"
+    )
     second = staged(second, "pairs")
     if not second.isEmpty():
         links = links.unionByName(_confirmed(second, documents, percent))
-        found = connected_components(links)
+        found = joined(links)
 
     regions = staged(_crowded_regions(with_components()), "regions")
     if not regions.isEmpty():
         headed = with_components().withColumn("head", F.substring("rotated", 1, _HEAD))
-        crowded = staged(headed.join(broadcast_if_small(regions, regions.count(), 100), ["tree", "head"]), "crowded")
+        crowded = staged(headed.join(_few_or_merged(regions, ID_BYTES), ["tree", "head"]), "crowded")
         ids = staged(crowded.select(F.col("doc_id").alias("_id")).distinct(), "ids")
         sets = _of_sets(documents, ids, "hashes", np.ndarray.tobytes)
-        third = staged(_across_blocks(crowded.join(sets, "doc_id"), percent), "links")
+        large = merged_if_large(crowded, crowded.count(), ROW_BYTES)
+        third = staged(_across_blocks(large.join(sets, "doc_id"), percent), "links")
         for done in (crowded, ids):
             discard(documents.sparkSession, done)
         if not third.isEmpty():
-            found = connected_components(links.unionByName(third))
+            found = joined(links.unionByName(third))
 
     # The result reads signed, classes and found alone.
     for done in (forest, first, second, regions):

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plyforge.llm import exact_dedup, jpeg, license_scan, line_dedup, media, near_dedup, packing, pieces, registry, sharding, toxicity, warc
+from plyforge.llm import common, exact_dedup, jpeg, license_scan, line_dedup, media, near_dedup, packing, pieces, registry, sharding, toxicity, warc
 from plyforge.llm.components import connected_components
 from plyforge.llm.shingles import shingle_sets
 
@@ -236,6 +236,29 @@ def test_no_link_is_lost_over_many_partitions(spark):
         assert got == want
 
 
+def test_near_groups_broadcast_by_counted_rows(spark, monkeypatch):
+    """Over the bound on counted rows no join broadcasts, however small Spark estimates the files to be; the groups are the same."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghij", k=60)) for _ in range(60)]
+    texts += [f"{t} {end}" for t in texts[:40] for end in "xyz"] + texts[:5]
+    monkeypatch.setattr(near_dedup, "WINDOW", 2)  # all three passes
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def run():
+        before = store.executionsCount()
+        kept = {r.doc_id for r in near_dedup.near_groups(docs(spark, texts)).collect() if r.kept}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        made = store.executionsList()
+        plans = [made.apply(i).physicalPlanDescription() for i in range(before, made.size())]
+        assert len(plans) > 10
+        return kept, [p for p in plans if "BroadcastHashJoin" in p.split("Initial Plan")[0]]
+
+    few, sent = run()
+    assert sent and few == set(range(60))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert run() == (few, [])
+
+
 def test_near_groups_without_identifier(spark):
     rows = [(None, "one two three four five six"), (3, "one two three four five six"), (5, "one two three four five six"), (None, None)]
     got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
