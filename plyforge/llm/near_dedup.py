@@ -408,7 +408,7 @@ def without_near_copies(documents: DataFrame, percent: int = PERCENT) -> DataFra
     """The documents, all their columns, of each component the one with the smallest doc_id."""
     groups = staged(near_groups(documents, percent), "groups")
     out = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(broadcast_if_small(out, out.count(), 100), F.col("doc_id") == F.col("_id"), "left_anti")
+    return documents.join(_few_or_merged(out, ID_BYTES), F.col("doc_id") == F.col("_id"), "left_anti")
 
 
 NAME = "op2_near_dedup"

@@ -259,6 +259,16 @@ def test_near_groups_broadcast_by_counted_rows(spark, monkeypatch):
     assert run() == (few, [])
 
 
+def test_near_copies_leave_by_a_merge_join_if_many(spark, monkeypatch):
+    """Over the bound on counted rows the dropped identifiers are not broadcast, however small their file; the documents are the same."""
+    texts = ["one two three four five six"] * 3 + ["seven eight nine ten eleven twelve"]
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    stays = near_dedup.without_near_copies(docs(spark, texts))
+    assert sorted(r.doc_id for r in stays.collect()) == [0, 3]
+    plan = stays._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.split("Initial Plan")[0]
+
+
 def test_near_groups_without_identifier(spark):
     rows = [(None, "one two three four five six"), (3, "one two three four five six"), (5, "one two three four five six"), (None, None)]
     got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
