@@ -132,8 +132,7 @@ def explain_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fan_out_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _path(spark, "sources")
     S.write_by_source(projected_records(spark, sf_dir).select("idx", "sfen", "path", "ply"), path)
-    read = spark.read.schema("value string, file string").text(path)
-    return read.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(F.get_json_object("value", "$.ply").cast("long")).alias("first_ply"))
+    return S.read_by_source(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(F.get_json_object("value", "$.ply").cast("long")).alias("first_ply"))
 
 
 _TALLIES = " UNION ALL ".join(
