@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions.positions import group_of, phase_of
@@ -31,45 +31,54 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as positions, each with its lines as observations, in the order of l_linenumber."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    mate = F.round(F.col("l_discount") * 100).cast("int") == 10
-    observation = F.struct(
-        *_ORDER,
-        F.concat(F.lit("e"), (F.col("l_suppkey") % 2).cast("string")).alias("engine"),
-        (F.col("l_linenumber") * 2).cast("int").alias("depth"),
-        F.when(F.round(F.col("l_tax") * 100).cast("int") > 7, F.col("l_linenumber") * 2 + 2).otherwise(F.col("l_linenumber") * 2).cast("int").alias("requested_depth"),
-        F.when(mate, "mate").otherwise("cp").alias("kind"),
-        F.when(~mate, (F.floor(F.col("l_extendedprice") / 100) - 500).cast("int")).alias("cp"),
-        F.when((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 20 == 0), "resign")
-        .otherwise(F.concat(F.lit("m"), (F.col("l_partkey") % 3).cast("string")))
-        .alias("bestmove"),
-        F.when(F.col("l_linestatus") == "O", F.col("l_quantity").cast("int") * 10).alias("margin"),
-        F.when(F.col("l_partkey") % 10 == 0, "lowerbound").otherwise("exact").alias("bound"),
-        (F.col("l_partkey") % 25 == 0).alias("salvaged"),
-    )
-    kept = ("engine", "depth", "requested_depth", "kind", "cp", "bestmove", "margin", "bound", "salvaged")
-    observed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(observation)).alias("o"))
-    observed = observed.select("l_orderkey", F.transform("o", lambda x: F.struct(*[x[k].alias(k) for k in kept])).alias("observations"))
-    empty = F.array().cast(observed.schema["observations"].dataType)
+    """Orders as positions, each with its lines as observations, in the order of l_linenumber.
+
+    Only the lines' own columns are shuffled, and before they are gathered: no order's lines lie
+    together in the input, so that gathering them earlier sorts and spills without making less.
+    What follows from a row is made after the last shuffle.
+    """
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *_ORDER).repartition("l_orderkey")
+    observed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*_ORDER))).alias("_lines"))
     game = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", (8 * F.row_number().over(game) - 7).cast("long").alias("ply")
+    )
     path = F.concat(F.lit("g"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 10 == 0, "#var1@5").otherwise(""))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    observations = F.transform("_lines", _observation)
     return (
-        orders.select(
+        orders.join(observed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .select(
             F.col("o_orderkey").alias("idx"),
             (F.col("o_orderkey") % 4000).cast("string").alias("sfen"),
             path.alias("path"),
-            (8 * F.row_number().over(game) - 7).cast("long").alias("ply"),
+            "ply",
             F.when(F.col("o_orderkey") % 2 == 0, "black").otherwise("white").alias("side"),
             (F.col("o_orderpriority") == "1-URGENT").alias("in_check"),
             (F.col("o_orderpriority") == "2-HIGH").alias("has_capture"),
             F.when(F.col("o_orderstatus") == "F", "black_wins").when(F.col("o_orderstatus") == "O", "white_wins").otherwise("draw").alias("outcome"),
+            phase_of(F.col("ply")).alias("phase"),
+            group_of(path).alias("group_key"),
+            F.coalesce(observations, F.array()).alias("observations"),
         )
-        .withColumns({"phase": phase_of(F.col("ply")), "group_key": group_of(F.col("path"))})
-        .join(observed, F.col("idx") == F.col("l_orderkey"), "left")
-        .withColumn("observations", F.coalesce("observations", empty))
-        .drop("l_orderkey")
+    )
+
+
+def _observation(line: Column) -> Column:
+    """An order's line, a struct of _ORDER, as an observation."""
+    mate = F.round(line["l_discount"] * 100).cast("int") == 10
+    depth = line["l_linenumber"] * 2
+    return F.struct(
+        F.concat(F.lit("e"), (line["l_suppkey"] % 2).cast("string")).alias("engine"),
+        depth.cast("int").alias("depth"),
+        F.when(F.round(line["l_tax"] * 100).cast("int") > 7, depth + 2).otherwise(depth).cast("int").alias("requested_depth"),
+        F.when(mate, "mate").otherwise("cp").alias("kind"),
+        F.when(~mate, (F.floor(line["l_extendedprice"] / 100) - 500).cast("int")).alias("cp"),
+        F.when((line["l_returnflag"] == "R") & (line["l_partkey"] % 20 == 0), "resign")
+        .otherwise(F.concat(F.lit("m"), (line["l_partkey"] % 3).cast("string")))
+        .alias("bestmove"),
+        F.when(line["l_linestatus"] == "O", line["l_quantity"].cast("int") * 10).alias("margin"),
+        F.when(line["l_partkey"] % 10 == 0, "lowerbound").otherwise("exact").alias("bound"),
+        (line["l_partkey"] % 25 == 0).alias("salvaged"),
     )
 
 
