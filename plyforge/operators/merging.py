@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions import positions as P
@@ -46,26 +46,38 @@ def merge(primary: DataFrame, secondary: DataFrame, policy: str = KEEP_BOTH) ->
     Of secondary records that share a key the last is merged; earlier ones, and those without a
     primary record, come out as they are. More columns: side (0 primary, 1 secondary; with idx
     the output's order), matched, collisions. Null keys equal nothing. Both sides have the same columns.
+    Both sides are shuffled and sorted once, by key; all rows of one key are in one task.
     """
     if policy not in (KEEP_BOTH, PREFER_PRIMARY, PREFER_SECONDARY):
         raise ValueError(f"unknown policy {policy}")
     element = primary.schema[P.OBS].dataType.elementType
     fields = [f for f in OBSERVATION_KEY if f in element.fieldNames()]
-    joined = primary.join(_last(secondary), list(KEY), "left")
+    secondary = secondary.select(*primary.columns)
+    both = primary.withColumn("side_ord", F.lit(0)).unionByName(secondary.withColumn("side_ord", F.lit(1)))
+    # Rows without a whole key pair with nothing, so that they are dealt by idx.
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in KEY])
+    both = both.withColumn("_apart", F.when(~whole, F.xxhash64("idx")))
+    # Of a key's rows the last secondary one comes first.
+    ordered = Window.partitionBy(*KEY, "_apart").orderBy(F.desc("side_ord"), F.desc("idx"))
+    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    paired = F.col("_apart").isNull() & (F.col("_lo") == 0) & (F.col("_hi") == 1)
+    seen = both.withColumns(
+        {
+            "_nth": F.row_number().over(ordered),
+            "_lo": F.min("side_ord").over(every),
+            "_hi": F.max("side_ord").over(every),
+            "_incoming": F.first(P.OBS).over(every),
+        }
+    )
+    kept = seen.withColumn("matched", paired & (F.col("side_ord") == 0)).where(~(paired & (F.col("side_ord") == 1) & (F.col("_nth") == 1)))
     none = F.array().cast(primary.schema[P.OBS].dataType)
-    result = _merged(fields, F.col(P.OBS), F.coalesce("_incoming", none), policy)
-    first = joined.withColumn("_m", result).select(
+    incoming = F.when(F.col("matched"), F.col("_incoming")).otherwise(none)
+    return kept.withColumn("_m", _merged(fields, F.col(P.OBS), incoming, policy)).select(
         *[F.col("_m.kept").alias(P.OBS) if c == P.OBS else F.col(c) for c in primary.columns],
-        F.lit(0).alias("side_ord"),
-        F.col("_other").isNotNull().alias("matched"),
+        "side_ord",
+        "matched",
         F.col("_m.collisions").alias("collisions"),
     )
-    keys = primary.select(*KEY).distinct()
-    consumed = _last(secondary).join(keys, list(KEY), "left_semi").select(F.col("_other").alias("idx"))
-    rest = secondary.join(consumed, "idx", "left_anti").select(
-        *primary.columns, F.lit(1).alias("side_ord"), F.lit(False).alias("matched"), F.lit(0).alias("collisions")
-    )
-    return first.unionByName(rest)
 
 
 def resume(records: DataFrame, earlier: DataFrame) -> DataFrame:
